@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few numbers that may be broadcast (about 30 MB); callers count first and shuffle beyond it.
+BROADCAST_ROWS = 500_000
 _own_folder: list[str] = []
 _settled: list[str] = []
 

@@ -134,6 +134,7 @@ RULES = (
 )
 #: Rows that a cascade is measured on; it sets the order of rules alone.
 SAMPLE_ROWS = 512
+SAMPLE_BYTES = 1 << 16
 
 
 def measured(texts: pa.Array, rules: Sequence[Rule]) -> list[tuple[str, int, int, float]]:
@@ -148,20 +149,16 @@ def measured(texts: pa.Array, rules: Sequence[Rule]) -> list[tuple[str, int, int
 
 
 def plan(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules in falling order of rejection per cost, as measured on at most sample_rows rows of df.
+    """Names of the rules in falling order of rejection per cost, as measured on the driver.
 
-    The measuring runs in one executor task; one row per rule comes to the driver. Ties, and an empty
-    table, keep the order in which the rules are given.
+    The sample is the first sample_rows texts of at most SAMPLE_BYTES each that a scan meets, so Spark reads only as many
+    partitions as it takes. Ties, and an empty table, keep the order in which the rules are given.
     """
-
-    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in measured(batch.column(0), rules)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["rule", "rows", "rejected", "seconds"])
-
-    sample = df.select(F.col(text).alias("text")).limit(sample_rows)
-    totals = sample.mapInArrow(on_batches, "rule string, rows long, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
-    worth = {r.rule: r.rejected / max(r.seconds, 1e-9) for r in totals.collect()}
-    return [r.name for r in sorted(rules, key=lambda r: -worth.get(r.name, 0.0))]
+    rows = df.select(F.col(text).alias("text")).where(f"octet_length(text) <= {SAMPLE_BYTES}").limit(sample_rows).collect()
+    if not rows:
+        return [r.name for r in rules]
+    worth = {name: rejected / max(seconds, 1e-9) for name, _, rejected, seconds in measured(pa.array([r.text for r in rows], pa.string()), rules)}
+    return [r.name for r in sorted(rules, key=lambda r: -worth[r.name])]
 
 
 def cascade(texts: pa.Array, rules: Sequence[Rule]) -> np.ndarray:

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, quality, sentencepieces, substrings
+from . import licenses, neardup, quality, sentencepieces, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_documents(spark, sf_dir), k=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
@@ -29,5 +35,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_license_scans, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_license_scans, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
