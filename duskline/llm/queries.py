@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, neardup, quality, sentencepieces, sharding, substrings
+from . import licenses, linededup, neardup, quality, sentencepieces, sharding, substrings, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
@@ -44,5 +49,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sharding, op6_license_scans, op7_line_dedup, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sharding, op5_top_k, op6_license_scans, op7_line_dedup, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op7_line_dedup": linededup.SQL}
