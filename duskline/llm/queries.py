@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, neardup, quality, sentencepieces, sharding, substrings, topk
+from . import licenses, linededup, neardup, packing, quality, sentencepieces, sharding, substrings, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,21 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_documents(spark, sf_dir))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "first_word", "n_words", "source", "cluster", "bin", "bin_start")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.by_bytes(_documents(spark, sf_dir), shards=24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return toxicity.score(documents, toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.search(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -49,5 +59,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_sharding, op5_top_k, op6_license_scans, op7_line_dedup, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_sharding, op4_toxicity, op5_top_k, op6_license_scans, op7_line_dedup, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op7_line_dedup": linededup.SQL}
