@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Rows of a few numbers that may be broadcast (about 30 MB); callers count first and shuffle beyond it.
@@ -57,8 +58,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
+def map_all_columns(df: DataFrame, on_batches, added: T.DataType | None = None, name: str = "") -> DataFrame:
+    """df.mapInArrow over all columns, whatever their names; on_batches may add one column of type `added` called `name`."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("made", added)]) if added else plain.schema
+    return plain.mapInArrow(on_batches, schema).toDF(*df.columns, *([name] if added else []))
 
 
 class Bitmap:

@@ -73,7 +73,7 @@ def clean_pages(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES
 def clean_documents(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """df without the boilerplate lines of its hosts; all rows and columns stay."""
     names = df.columns
-    packed = df.select(F.col(host).cast("string").alias("host"), F.split(F.col(text), "\n", -1).alias("lines"), F.struct(*[F.col(c) for c in names]).alias("row"))
+    packed = df.select(F.col(host).cast("string").alias("host"), F.split(F.col(text), "\n", -1).alias("lines"), F.struct(*[df[f"`{c}`"] for c in names]).alias("row"))
     out = drop_lines(packed, ratio, least)
     cleaned = F.when(F.size("kept") == F.size("lines"), F.col("row")[text]).otherwise(F.array_join("kept", "\n"))
     return out.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, map_all_columns
 from .textbytes import SPACE_SPLIT, Chunk, Words, chunks, covered, prefix_hash, range_hash, spans, sums, windows, word_hashes
 
 REPEAT_WIDTH = 8
@@ -189,7 +189,7 @@ def keep(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sampl
         for batch in batches:
             yield batch.filter(pa.array(cascade(batch.column(at), order)))
 
-    return df.mapInArrow(on_batches, df.schema)
+    return map_all_columns(df, on_batches)
 
 
 def judge(df: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

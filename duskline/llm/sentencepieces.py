@@ -23,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column
+from .common import column, map_all_columns
 
 SPACE = "▁"
 NO_RANK = np.int64(1) << 40
@@ -293,32 +294,31 @@ def model(path: str) -> Model:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of ids (array of int); a column of that name is replaced."""
-    rest = [c for c in df.columns if c != ids]
-    at = rest.index(text)
+    rest = df.drop(ids)
+    at = rest.columns.index(text)
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
             for part in _parts(batch, at):
                 made = own.encode(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(made)], [*part.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(made)], [*part.schema.names, "made"])
 
-    schema = df.select(*rest).schema.add(ids, "array<int>")
-    return df.select(*rest).mapInArrow(on_batches, schema)
+    return map_all_columns(rest, on_batches, T.ArrayType(T.IntegerType()), ids)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with a column of the text that the ids stand for (null for null ids)."""
-    rest = [c for c in df.columns if c != text]
-    at = rest.index(ids)
+    rest = df.drop(text)
+    at = rest.columns.index(ids)
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
             made = [None if x is None else own.decode_bytes(np.array(x, np.int64)).decode() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "made"])
 
-    return df.select(*rest).mapInArrow(on_batches, df.select(*rest).schema.add(text, "string"))
+    return map_all_columns(rest, on_batches, T.StringType(), text)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:

@@ -226,7 +226,7 @@ def remove(df: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str =
     All rows and columns stay; a text of which nothing is left is empty, a null text stays null.
     """
     names = df.columns
-    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in names if c != text], F.lit(1).alias("__one")).alias("rest"))
+    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), F.struct(F.lit(1).alias("c"), *[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names) if c != text]).alias("rest"))
 
     def on_chunk(batch: pa.RecordBatch, chunk: Chunk, words, drop: np.ndarray) -> pa.RecordBatch:
         if drop.any():
@@ -248,4 +248,4 @@ def remove(df: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str =
 
     schema = packed.select("text", "rest").schema
     out = _apply(_with_cuts(packed, width), schema, on_chunk)
-    return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in names])
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(names)])
