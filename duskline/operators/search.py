@@ -57,14 +57,13 @@ def tfidf_search(df: DataFrame, row_id: str, column: str, query: str, limit: int
     asked = df.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("t")).first().t
     tokens = text.tokens(quoted(column).cast("string"))
     rows = df.select(quoted(row_id).alias("row_id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    n_rows = rows.count()
-    if not asked or not n_rows:
-        return df.select(quoted(row_id).alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
     wanted = sorted(set(asked))
     counts = [F.size(F.filter("tokens", _is(w))).alias(f"k{i}") for i, w in enumerate(wanted)]
     counted = rows.select("row_id", F.size("tokens").alias("n"), *counts)
-    held = counted.agg(*[F.coalesce(F.sum((F.col(f"k{i}") > 0).cast("long")), F.lit(0)).alias(f"k{i}") for i in range(len(wanted))]).first()
-    return _scored(counted, {w: held[f"k{i}"] for i, w in enumerate(wanted)}, wanted, asked, n_rows, row_id, limit)
+    held = counted.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum((F.col(f"k{i}") > 0).cast("long")), F.lit(0)).alias(f"k{i}") for i in range(len(wanted))]).first()
+    if not asked or not held.rows:
+        return df.select(quoted(row_id).alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
+    return _scored(counted, {w: held[f"k{i}"] for i, w in enumerate(wanted)}, wanted, asked, held.rows, row_id, limit)
 
 
 def _scored(counted: DataFrame, held: dict[str, int], wanted: list[str], asked: list[str], n_rows: int, row_id: str, limit: int | None) -> DataFrame:
