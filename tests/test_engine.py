@@ -274,3 +274,26 @@ def test_odd_inserts(engine):
     ok(engine, "insert into d.t ('hello') values('world')")
     ok(engine, "insert into d.t (hello, n) values ('it''s', -5)")
     assert sorted(r["hello"] for r in ok(engine, "select hello from d.t")) == ["it's", "world"]
+
+
+def test_import_export_and_measures(people, tmp_path):
+    people.export("select name, age from d.people where age > 26 order by name", str(tmp_path / "out"))
+    assert people.import_csv(str(tmp_path / "out"), "d", "copy", {"name": "n", "age": "a"}, "name string, age int, __uuid string") == 2
+    assert ok(people, "select n from d.copy where a = 30") == [{"n": "Bob"}]
+    people.export("select name from d.people", str(tmp_path / "json"), "json")
+    assert people.spark.read.json(str(tmp_path / "json")).count() == 3
+    assert people.query("select * from d.people")[0].measured()["rows"] == 3
+
+
+def test_key_value_tables(engine, spark):
+    from duskline.sources.keyvalue import KeyValueTable
+
+    kv = KeyValueTable(engine.catalog, "d", "kv")
+    kv.put(spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "key string, value string"))
+    kv.put(spark.createDataFrame([("a", "2")], "key string, value string"))
+    kv.delete(spark.createDataFrame([("b",)], "key string"))
+    assert kv.get("a") == "2" and kv.get("b") is None and kv.get("none") is None
+    kv.compact()
+    assert sorted(map(tuple, kv.scan("a", "b").collect())) == [("a", "2")] and kv.log().count() == 2
+    kv.put(spark.createDataFrame([("b", "3")], "key string, value string"))
+    assert kv.get("b") == "3"
