@@ -13,7 +13,9 @@ Links without all pairs: equal sets are one class from the start. (1) In each bu
 linked with the bucket's least class only, and these candidates are verified on full sets. (2) Buckets
 whose classes are now in one component are finished, as are those of two classes. In the others, classes outside the
 component of the least class are compared with all classes of other components in the bucket, in blocks of bounded size, by
-their sketches; what may reach the threshold is verified on full sets. Nothing is capped.
+their sketches. A pair of classes is looked at in the first band that they share. What may reach the threshold goes
+on as one list for each pair of blocks, best first; the full sets of its classes are joined to the list, and of
+verified links only those that connect components not yet connected are returned. Nothing is capped, and no pair is a row.
 
 Words: A-Z folded, `[^\\x20\\x09-\\x0D]+`. A document of fewer than k words has its whole sequence as its one
 shingle. Documents without words, and null texts, have no shingles and are linked with nothing. A class is
@@ -37,8 +39,8 @@ from .textbytes import SPACE_SPLIT, Chunk, chunks, mix, spans, windows, word_has
 T, ROWS = 250, 5
 BANDS = T // ROWS
 SIMILARITY = (80, 100)
-#: A pair at the threshold falls below this share of equal coordinates with probability under 1e-11 (seven standard deviations).
-LEAST_AGREEMENT = 0.8 - 7 * (0.8 * 0.2 / T) ** 0.5
+#: A pair at the threshold falls below this share of equal coordinates with probability under 3e-7 (five standard deviations).
+LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / T) ** 0.5
 BLOCK = 256
 _FULL = np.uint64((1 << 64) - 1)
 _SEEDS = mix(np.arange(1, 2 * T + BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -130,91 +132,142 @@ def signatures(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(on_batches, "id long, text_hash long, n long, cls long, bands array<long>, sketch binary")
 
 
-def _class_texts(df: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
-    """cls, text: one text of each of these classes."""
+def _class_sets(df: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """cls, set: the sorted shingle hashes of each of these classes, made from one of its texts."""
     chosen = signed.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("text_hash", "id")).alias("row"))
     chosen = settle(chosen.select("cls", F.col("row.id").alias("c_id"), F.col("row.text_hash").alias("c_hash")))
     repeats = not signed.join(chosen, (F.col("id").eqNullSafe(F.col("c_id"))) & (F.col("text_hash") == F.col("c_hash"))).groupBy("c_id", "c_hash").count().where("count > 1").isEmpty()
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     found = df.join(chosen, (F.col("text_hash") == F.col("c_hash")) & F.col("id").eqNullSafe(F.col("c_id"))).select("cls", "text")
-    return settle(found.dropDuplicates(["cls"]) if repeats else found)
+
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                value, doc = shingle_sets(chunk, k)
+                first = np.searchsorted(doc, np.arange(len(chunk) + 1)).tolist()
+                sets = [value[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(sets, pa.binary())], ["cls", "set"])
+
+    made = found.mapInArrow(on_batches, "cls long, set binary")
+    return settle(made.dropDuplicates(["cls"]) if repeats else made)
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if SIMILARITY[1] * min(len(p), len(q)) < SIMILARITY[0] * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return SIMILARITY[1] * common >= SIMILARITY[0] * (len(p) + len(q) - common)
 
 
 def verified(pairs: DataFrame, df: DataFrame, signed: DataFrame, k: int) -> DataFrame:
     """The pairs of classes (a, b) whose full sets are similar enough."""
     classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = _class_texts(df, classes, signed)
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    sets = _class_sets(df, classes, signed, k)
+    left = sets.select(F.col("cls").alias("a"), F.col("set").alias("a_set"))
+    right = sets.select(F.col("cls").alias("b"), F.col("set").alias("b_set"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = np.asarray(column(batch, "a")), np.asarray(column(batch, "b"))
-            for start in range(0, len(a), 64):
-                rows = slice(start, start + 64)
-                first_row = {}  # a class stands in many pairs: one set for each
-                for side, ids in (("a_text", a[rows]), ("b_text", b[rows])):
-                    for i, c in enumerate(ids.tolist()):
-                        first_row.setdefault(c, (side, start + i))
-                texts = pa.array([column(batch, side)[i].as_py() for side, i in first_row.values()], pa.string())
-                sets: list[np.ndarray] = []
-                for chunk in chunks(texts):
-                    value, doc = shingle_sets(chunk, k)
-                    first = np.searchsorted(doc, np.arange(len(chunk) + 1))
-                    sets += [value[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
-                of = dict(zip(first_row, sets, strict=True))
-                alike = []
-                for x, y in zip(a[rows].tolist(), b[rows].tolist(), strict=True):
-                    p, q = of[x], of[y]
-                    if SIMILARITY[1] * min(len(p), len(q)) < SIMILARITY[0] * max(len(p), len(q)):
-                        alike.append(False)
-                        continue
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    alike.append(SIMILARITY[1] * common >= SIMILARITY[0] * (len(p) + len(q) - common))
-                ok = np.array(alike, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(a[rows][ok]), pa.array(b[rows][ok])], ["a", "b"])
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(column(batch, "a_set"), column(batch, "b_set"), strict=True)):
+                ok[i] = similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
     return settle(joined.mapInArrow(on_batches, "a long, b long").distinct())
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a bucket, may be similar by their sketches, and are not in done."""
+_LISTS = "list long, xs binary, ys binary, x_comps binary, y_comps binary"
+
+
+def _open_lists(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Lists of pairs of classes in different components that share a bucket and may be similar by their sketches, best first.
+
+    A pair stands in the list of the first band it shares, once for each of that band's pairs of blocks.
+    """
     comp = F.coalesce(F.col("comp"), F.col("cls"))
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", comp.alias("comp"))
     state = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
     state = settle(state.select("bucket", F.col("lo").alias("main"), F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")))
-    if state.isEmpty():
-        return done.where("false")
     rows = named.join(state, "bucket").withColumn("minor", F.col("comp") != F.col("main")).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
-    sketch = signed.where("sketch is not null").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("size"))
-    blocks = rows.join(sketch, "cls").groupBy("bucket", "minor", "block").agg(F.collect_list(F.struct("cls", "comp", "size", "sketch")).alias("own"))
+    sketch = signed.where("sketch is not null").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n").alias("size"))
+    blocks = rows.join(sketch, "cls").groupBy("bucket", "minor", "block").agg(F.collect_list(F.struct("cls", "comp", "size", "sketch", "bands")).alias("own"))
     blocks = settle(blocks)
     left = blocks.where("minor").select("bucket", F.col("block").alias("x_block"), F.col("own").alias("x"))
     right = blocks.select("bucket", "minor", "block", F.col("own").alias("y"))
-    pairs = left.join(right, "bucket").where("not minor or x_block <= block").select("x", "y")
+    pairs = left.join(right, "bucket").where("not minor or x_block <= block").select(F.xxhash64("bucket", "x_block", "minor", "block").alias("list"), "bucket", "x", "y")
 
     def unpack(rows: pa.Array) -> tuple[np.ndarray, ...]:
         flat = rows.flatten() if isinstance(rows, pa.ListArray) else rows
-        return np.asarray(flat.field("cls")), np.asarray(flat.field("comp")), np.asarray(flat.field("size")), np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, T)
+        n = len(flat)
+        banded = np.asarray(flat.field("bands").flatten()).reshape(n, BANDS)
+        return np.asarray(flat.field("cls")), np.asarray(flat.field("comp")), np.asarray(flat.field("size")), np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(n, T), banded
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                xc, xg, xn, xs = unpack(batch.column(0).slice(i, 1))
-                yc, yg, yn, ys = unpack(batch.column(1).slice(i, 1))
-                found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                bucket = batch.column(1)[i].as_py()
+                xc, xg, xn, xs, xb = unpack(batch.column(2).slice(i, 1))
+                yc, yg, yn, ys, yb = unpack(batch.column(3).slice(i, 1))
+                found: list[tuple[np.ndarray, ...]] = []
                 for j in range(len(xc)):
                     fit = np.flatnonzero((yg != xg[j]) & (SIMILARITY[1] * np.minimum(xn[j], yn) >= SIMILARITY[0] * np.maximum(xn[j], yn)))
-                    fit = fit[(ys[fit] == xs[j]).mean(axis=1) >= LEAST_AGREEMENT]
-                    found_a.append(np.maximum(yc[fit], xc[j]))
-                    found_b.append(np.minimum(yc[fit], xc[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                    share = (ys[fit] == xs[j]).mean(axis=1)
+                    fit, share = fit[share >= LEAST_AGREEMENT], share[share >= LEAST_AGREEMENT]
+                    if len(fit):
+                        first = np.argmax(yb[fit] == xb[j], axis=1)
+                        own = xb[j][first] == bucket
+                        found.append((np.full(int(own.sum()), j), fit[own], share[own]))
+                if not found:
+                    continue
+                a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
+                best = np.argsort(-share, kind="stable")
+                a, b = a[best], b[best]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], pa.int64()), *[pa.array([v.astype(np.int64).tobytes()], pa.binary()) for v in (xc[a], yc[b], xg[a], yg[b])]], ["list", "xs", "ys", "x_comps", "y_comps"])
+
+    return pairs.mapInArrow(on_batches, _LISTS)
+
+
+def _verified_lists(lists: DataFrame, df: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) that connect all components which a similar pair of a list connects."""
+
+    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.unique(np.concatenate([np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (1, 2)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own)], ["list", "cls"])
+
+    named = settle(lists.mapInArrow(classes_of, "list long, cls long"))
+    sets = _class_sets(df, named.select("cls").distinct(), signed, k)
+    held = named.join(sets, "cls").select("list", "cls", "set")
+
+    def on_tables(listed: pa.Table, own: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        classes, texts = own["cls"].to_pylist(), own["set"].combine_chunks()
+        where = {c: i for i, c in enumerate(classes)}
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        for i in range(listed.num_rows):
+            a, b, ga, gb = (np.frombuffer(listed[n][i].as_buffer(), np.int64).tolist() for n in ("xs", "ys", "x_comps", "y_comps"))
+            for x, y, g, h in zip(a, b, ga, gb, strict=True):
+                s, t = top(g), top(h)
+                if s != t and similar(np.frombuffer(texts[where[x]].as_buffer(), np.uint64), np.frombuffer(texts[where[y]].as_buffer(), np.uint64)):
+                    up[s] = t
+                    out.append((max(x, y), min(x, y)))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(on_batches, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+    return settle(lists.groupBy("list").cogroup(held.groupBy("list")).applyInArrow(on_tables, "a long, b long"))
 
 
 def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -226,10 +279,9 @@ def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     first = settle(members.where("cls != lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct())
     edges = verified(first, df, signed, k)
     labels = components(edges)
-    more = _open_pairs(members.select("bucket", "cls"), labels, signed, first)
-    more = settle(more)
-    if not more.isEmpty():
-        labels = components(edges.union(verified(more, df, signed, k)))
+    lists = settle(_open_lists(members.select("bucket", "cls"), labels, signed))
+    if not lists.isEmpty():
+        labels = components(edges.union(_verified_lists(lists, df, signed, k)))
     return signed, labels
 
 
@@ -254,7 +306,8 @@ def keep_one(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
     out = judged.where("not kept").select(F.col("id").alias("o_id"), F.col("text_hash").alias("o_hash")).distinct()
     if out.count() <= BROADCAST_ROWS:
         out = F.broadcast(out)
-    kept = df.join(out, F.col(doc_id).cast("long").eqNullSafe(F.col("o_id")) & (F.xxhash64(text) == F.col("o_hash")), "left_anti")
-    if judged.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__hash", F.xxhash64(text)).dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    kept = packed.join(out, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash")), "left_anti")
+    if not judged.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "text_hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
