@@ -10,9 +10,10 @@ Banding: BANDS bands of ROWS coordinates. A pair at similarity 0.8 shares no ban
 (1 - 0.8**5)**50 = 2.4e-9, a closer one less often.
 
 Links without all pairs: equal sets are one class from the start. (1) In each bucket every class is
-linked with the bucket's least class only, and these candidates are verified on full sets. (2) Buckets
+linked with one class only, that with most company in all its buckets together (of a text and its copies it is the
+text, whatever the bucket), and these candidates are verified on full sets. (2) Buckets
 whose classes are now in one component are finished, as are those of two classes. In the others, classes outside the
-component of the least class are compared with all classes of other components in the bucket, in blocks of bounded size, by
+bucket's least component are compared with all classes of other components in the bucket, in blocks of bounded size, by
 their sketches. A pair of classes is looked at in the first band that they share. What may reach the threshold goes
 on as one list for each pair of blocks, best first; the full sets of its classes are joined to the list, and of
 verified links only those that connect components not yet connected are returned. Nothing is capped, and no pair is a row.
@@ -274,12 +275,16 @@ def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of the rows of df (id, text_hash, text), and node, comp of all classes that are linked with another."""
     signed = settle(signatures(df, k))
     banded = signed.where("size(bands) > 0").select("cls", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead != last").select("bucket", "lead")
-    members = settle(banded.join(shared, "bucket").select("bucket", "cls", "lead").distinct())
-    first = settle(members.where("cls != lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct())
+    shared = banded.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bucket")
+    members = settle(banded.join(shared, "bucket").select("bucket", "cls").distinct())
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    reach = members.join(sizes, "bucket").groupBy("cls").agg(F.sum("n").alias("reach"))
+    leads = members.join(reach, "cls").groupBy("bucket").agg(F.max(F.struct("reach", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("lead"))
+    first = members.join(leads, "bucket").where("cls != lead").select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b"))
+    first = settle(first.distinct())
     edges = verified(first, df, signed, k)
     labels = components(edges)
-    lists = settle(_open_lists(members.select("bucket", "cls"), labels, signed))
+    lists = settle(_open_lists(members, labels, signed))
     if not lists.isEmpty():
         labels = components(edges.union(_verified_lists(lists, df, signed, k)))
     return signed, labels
