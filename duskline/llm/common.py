@@ -37,12 +37,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all settled tables. Call it once no frame that was built on them will be read again."""
+def settled() -> list[str]:
+    """The folders of all settled tables that this process has made and not deleted."""
+    return list(_settled)
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete settled tables (all, or those in these folders). Call it once no frame that was built on them will be read again."""
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    while _settled:
-        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for folder in settled() if folders is None else folders:
+        if folder in _settled:
+            _settled.remove(folder)
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

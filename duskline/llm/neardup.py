@@ -316,3 +316,22 @@ def keep_one(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
     if not judged.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["id", "text_hash"])
     return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
+#: The same as near_duplicates over the table documents with k = 2, for DuckDB (all pairs that share a shingle: small tables only).
+SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, len(w) as n, unnest(w) as word, unnest(range(len(w))) as pos from d),
+pairs as (select *, lead(word) over (partition by r order by pos) as follower from words),
+shingles as (select distinct r, case when n = 1 then word else word || ' ' || follower end as s from pairs where n = 1 or follower is not null),
+sized as (select r, s, count(*) over (partition by r) as n from shingles),
+links as (
+  select a.r as x, b.r as y from sized a join sized b on a.s = b.s and a.r < b.r and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways as (select x, y from links union all select y, x from links),
+reached(r, k) as (select r, r from d union select ways.y, reached.k from reached join ways on reached.r = ways.x),
+named as (select reached.r, min(d.doc_id) as component_id from reached join d on reached.k = d.r group by reached.r)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id is not distinct from component_id as kept
+from d join named using (r) left join (select r, count(*) as n from shingles group by r) using (r)
+"""

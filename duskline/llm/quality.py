@@ -217,3 +217,36 @@ def judge(df: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = B
                 yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, len(chunk)), *made, pa.array(failed), pa.array(kept)], ["doc_id", *counts, "base_failed", "kept"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(on_batches, schema)
+
+
+#: The same as judge over the table documents with RULES, for DuckDB.
+SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+words as (
+  select r, unnest(w) as word, unnest(range(len(w))) as pos from (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d)),
+runs as (
+  select *, word = lag(word) over o as again,
+    concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o, lead(word, 5) over o, lead(word, 6) over o, lead(word, 7) over o) as win,
+    lead(word, 7) over o is not null as whole
+  from words window o as (partition by r order by pos)),
+marked as (select r, pos, again, word, whole and count(*) over (partition by r, win, whole) > 1 as twice from runs),
+covered as (select *, bool_or(twice) over (partition by r order by pos rows between 7 preceding and current row) as inside from marked),
+counts as (
+  select r, count(*) as n_words, cast(sum(length(word)) as bigint) as word_chars, count(*) filter (inside) as n_repeat_words, count(*) filter (again) as n_stutters
+  from covered group by r),
+lines as (
+  select r, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) as n_letters,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+every as (
+  select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(n_symbols as bigint) as n_symbols,
+    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    coalesce(n_stutters, 0) as n_stutters, n_upper, n_letters, len(l) as n_lines
+  from d join lines using (r) left join counts using (r)),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from every)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or word_chars < 2 * n_words or word_chars > 12 * n_words or 10 * n_symbols > 3 * n_words
+    or 10 * n_dup_lines > 4 * greatest(n_lines, 1) or 10 * n_stutters > 4 * greatest(n_words, 1) or 10 * n_upper > 6 * greatest(n_letters, 1)) as kept
+from judged
+"""

@@ -60,4 +60,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_sharding, op4_toxicity, op5_top_k, op6_license_scans, op7_line_dedup, op8_quality_rules, op9_sentencepiece, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op7_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": neardup.SQL, "op5_top_k": topk.SQL, "op7_line_dedup": linededup.SQL, "op8_quality_rules": quality.SQL, "op10_substring_dedup": substrings.SQL}

@@ -249,3 +249,18 @@ def remove(df: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str =
     schema = packed.select("text", "rest").schema
     out = _apply(_with_cuts(packed, width), schema, on_chunk)
     return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+
+
+#: The same as digests over the table documents with windows of 35 words, for DuckDB.
+SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, len(w) as n, unnest(w) as word, unnest(range(len(w))) as pos from d),
+windows as (
+  select *, case when pos + 35 <= n then string_agg(word, ' ') over (partition by r order by pos rows between current row and 34 following) end as win from words),
+marked as (select r, pos, word, win is not null and count(*) over (partition by win) > 1 as again from windows),
+covered as (select *, bool_or(again) over (partition by r order by pos rows between 34 preceding and current row) as gone from marked),
+kept as (select r, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (not gone), '') as left_over from covered group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(left_over, '')) as kept_sha256
+from d left join kept using (r)
+"""

@@ -12,10 +12,7 @@ from duskline.llm import linededup, queries, quality, topk
 
 from . import brute
 
-FULL = ("op5_top_k", "op7_line_dedup")
-
-
-@pytest.mark.parametrize("name", FULL)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_the_sql_gives_the_same(spark, small, name):
     con = duckdb.connect()
     for t in ("embeddings", "pages", "documents"):
