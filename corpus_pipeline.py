@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskline.llm import linededup, neardup, packing, quality, substrings
-from duskline.llm.common import settle
+from duskline.llm.common import release, settle, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mine: list[str] = []
     for _, stage in STAGES[:-1]:
+        before = settled()
         docs = settle(stage(spark, docs, sf_dir))
+        made = [x for x in settled() if x not in before]
+        release(spark, mine + made[:-1])  # what the stage needed on its way, and the stage before it
+        mine = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
