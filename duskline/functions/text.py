@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,20 +13,35 @@ STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of",
     "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
-WORD = r"[\p{L}\p{N}]+"
+LETTER = r"[\p{L}\p{N}]"
+#: A run of letters and digits that is no stop word, in lower-cased text.
+TOKEN = rf"(?<!{LETTER})(?!(?:{'|'.join(STOP_WORDS)})(?!{LETTER})){LETTER}++"
 NOT_ASCII_WORD = r"[^a-zA-Z0-9]+"
 DEFAULT_DISTANCE = 2
 
 
 def token_set(text: Column) -> Column:
     """Distinct lower-cased runs of ASCII letters and digits, in order of appearance."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), NOT_ASCII_WORD), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), NOT_ASCII_WORD), ""))
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of any script, without stop words; repeats stay."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(list(STOP_WORDS)))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def has_token(text: Column) -> Column:
+    """Whether a text has any token, without taking it apart."""
+    return F.lower(text).rlike(TOKEN)
+
+
+def has_any(text: Column, words: Sequence[str], ascii_only: bool = False) -> Column:
+    """Whether one of these tokens stands in a text, without taking it apart."""
+    letter, lowered = "[a-zA-Z0-9]" if ascii_only else LETTER, F.lower(text)
+    near = F.lit(False)
+    for w in words:  # a plain search for bytes, before the pattern
+        near = near | lowered.contains(w)
+    return near & lowered.rlike(rf"(?<!{letter})(?:{'|'.join(words)})(?!{letter})")  # tokens are letters and digits only
 
 
 def fuzzy_distance(text: Column, term: str, most: int = DEFAULT_DISTANCE) -> Column:
@@ -36,9 +54,14 @@ def fuzzy_distance(text: Column, term: str, most: int = DEFAULT_DISTANCE) -> Col
     return F.when(near & (distance >= 0), distance)
 
 
+def ascii_tokens(query: str) -> list[str]:
+    """The token set of a query, on the driver."""
+    return list(dict.fromkeys(t for t in re.split(NOT_ASCII_WORD, query.lower()) if t))
+
+
 def overlap(text: Column, query: str) -> Column:
     """Share of a text's token set that the query's tokens make up; 0 without common tokens, null for null."""
-    own, asked = token_set(text), token_set(F.lit(query))
+    own, asked = token_set(text), F.array(*[F.lit(t) for t in ascii_tokens(query)]).cast("array<string>")
     n = F.size(F.array_intersect(own, asked))
     return F.when(text.isNotNull(), F.when(n > 0, n / F.size(own)).otherwise(F.lit(0.0)))
 

@@ -15,9 +15,9 @@ DISTANCE = "__fuzzy_distance"
 
 def overlap_search(df: DataFrame, column: str, query: str, limit: int | None = None) -> DataFrame:
     """Rows that share a token with the query, with their relevance; best first."""
-    score = text.overlap(quoted(name_of(df, column)).cast("string"), query)
-    found = df.withColumn(RELEVANCE, score).where(F.col(RELEVANCE) > 0)
-    return _ranked(found, F.col(RELEVANCE).desc(), limit)
+    c, asked = quoted(name_of(df, column)).cast("string"), text.ascii_tokens(query)
+    near = df.where(text.has_any(c, asked, ascii_only=True) if asked else F.lit(False))
+    return _ranked(near.withColumn(RELEVANCE, text.overlap(c, query)), F.col(RELEVANCE).desc(), limit)
 
 
 def fuzzy_search(df: DataFrame, column: str, term: str, most: int = text.DEFAULT_DISTANCE, limit: int | None = None) -> DataFrame:
@@ -44,36 +44,24 @@ def postings(df: DataFrame, row_id: str, column: str) -> DataFrame:
     return flat.groupBy("token", "row_id", "n").agg(F.count(F.lit(1)).alias("k")).select("token", "row_id", (F.col("k") / F.col("n")).alias("tf"))
 
 
-def _is(word: str):
-    return lambda t: t == word
-
-
 def tfidf_search(df: DataFrame, row_id: str, column: str, query: str, limit: int | None = None) -> DataFrame:
     """row id and relevance of rows that hold a token of the query; best first.
 
-    idf = ln(N / df), N: rows with a token. Query tokens that repeat count as often; rows that score 0 stay. Only tokens of the
-    query are exploded; the corpus itself is read once and never shuffled by token.
+    idf = ln(N / df), N: rows with a token. Query tokens that repeat count as often; rows that score 0 stay. One pass looks for the
+    query's tokens and counts rows, a second takes apart only the texts that hold one; nothing is shuffled by token.
     """
     asked = df.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("t")).first().t
-    tokens = text.tokens(quoted(column).cast("string"))
-    rows = df.select(quoted(row_id).alias("row_id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    wanted = sorted(set(asked))
-    counts = [F.size(F.filter("tokens", _is(w))).alias(f"k{i}") for i, w in enumerate(wanted)]
-    counted = rows.select("row_id", F.size("tokens").alias("n"), *counts)
-    held = counted.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum((F.col(f"k{i}") > 0).cast("long")), F.lit(0)).alias(f"k{i}") for i in range(len(wanted))]).first()
-    if not asked or not held.rows:
+    wanted, c = sorted(set(asked)), quoted(column).cast("string")
+    if not wanted:
         return df.select(quoted(row_id).alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
-    return _scored(counted, {w: held[f"k{i}"] for i, w in enumerate(wanted)}, wanted, asked, held.rows, row_id, limit)
-
-
-def _scored(counted: DataFrame, held: dict[str, int], wanted: list[str], asked: list[str], n_rows: int, row_id: str, limit: int | None) -> DataFrame:
-    score, any_ = F.lit(0.0), F.lit(False)
+    held = df.agg(F.count_if(text.has_token(c)).alias("rows"), *[F.count_if(text.has_any(c, [w])).alias(f"k{i}") for i, w in enumerate(wanted)]).first()
+    rows = df.where(text.has_any(c, wanted)).select(quoted(row_id).alias("row_id"), text.tokens(c).alias("tokens"))
+    score = F.lit(0.0)
     for i, w in enumerate(wanted):
-        if held[w]:
-            score = score + F.col(f"k{i}") / F.col("n") * F.log(F.lit(n_rows / held[w])) * F.lit(asked.count(w))
-            any_ = any_ | (F.col(f"k{i}") > 0)
-    found = counted.where(any_).select(F.col("row_id").alias(row_id), score.alias(RELEVANCE))
-    return _ranked(found, F.col(RELEVANCE).desc(), limit)
+        if held[f"k{i}"]:
+            times = F.size("tokens") - F.size(F.array_remove("tokens", w))
+            score = score + times / F.size("tokens") * F.log(F.lit(held["rows"] / held[f"k{i}"])) * F.lit(asked.count(w))
+    return _ranked(rows.select(F.col("row_id").alias(row_id), score.alias(RELEVANCE)), F.col(RELEVANCE).desc(), limit)
 
 
 def indexed_search(index: DataFrame, query: str, n_rows: int, row_id: str = "row_id", limit: int | None = None) -> DataFrame:
