@@ -203,8 +203,9 @@ class Compiler:
             hits = search.indexed_search(index, asked, n_rows, "__hit")
             df = scope.df.join(hits, relational.quoted(self.row_id) == F.col("__hit")).drop("__hit")
             return df, F.col(search.RELEVANCE).desc()
-        df = scope.df.withColumn(search.RELEVANCE, text.overlap(relational.quoted(found).cast("string"), asked)).where(F.col(search.RELEVANCE) > 0)
-        return df, F.col(search.RELEVANCE).desc()
+        c, words = relational.quoted(found).cast("string"), text.ascii_tokens(asked)
+        near = scope.df.where(text.has_any(c, words, ascii_only=True) if words else F.lit(False))
+        return near.withColumn(search.RELEVANCE, text.overlap(c, asked)), F.col(search.RELEVANCE).desc()
 
     def predicate(self, scope: Scope, node) -> Column:
         """A predicate as one Boolean column. Missing columns satisfy nothing."""
