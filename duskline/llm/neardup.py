@@ -193,9 +193,11 @@ def _open_lists(members: DataFrame, labels: DataFrame, signed: DataFrame) -> Dat
     """
     comp = F.coalesce(F.col("comp"), F.col("cls"))
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", comp.alias("comp"))
-    state = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
-    state = settle(state.select("bucket", F.col("lo").alias("main"), F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")))
-    rows = named.join(state, "bucket").withColumn("minor", F.col("comp") != F.col("main")).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
+    state = named.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("main != hi and n > 2").select("bucket", "main")
+    rows = settle(named.join(state, "bucket").withColumn("minor", F.col("comp") != F.col("main")).drop("main"))
+    # Both sides are dealt into blocks apart, so that a few classes outside the main component meet it as one block.
+    blocks = rows.groupBy("bucket", "minor").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
+    rows = rows.join(blocks, ["bucket", "minor"]).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
     sketch = signed.where("sketch is not null").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n").alias("size"))
     blocks = rows.join(sketch, "cls").groupBy("bucket", "minor", "block").agg(F.collect_list(F.struct("cls", "comp", "size", "sketch", "bands")).alias("own"))
     blocks = settle(blocks)
