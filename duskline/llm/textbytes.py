@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _ODD = np.uint64(int(_RNG.integers(1 << 62)) * 2 + 1)
 _ODD_INV = np.uint64(pow(int(_ODD), -1, 1 << 64))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, settle
+from .common import BROADCAST_ROWS, column, settle
 from .neardup import shingle_sets
 from .textbytes import chunks, mix
 
@@ -260,7 +260,9 @@ def _training(documents: DataFrame, labels: DataFrame, fit_rows: int) -> DataFra
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("l_id"), F.expr("int(toxic != 0)").alias("toxic"))
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("l_id"), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
+    known = settle(known.where(F.pmod(F.xxhash64("l_id"), F.lit(HASH_RANGE)) < int(share * HASH_RANGE)))
+    if known.count() <= BROADCAST_ROWS:  # as long as fit_rows is: then the documents stay where they are
+        known = F.broadcast(known)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id") == F.col("l_id"))
     rows = settle(rows.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic"))
 
