@@ -3,8 +3,11 @@
 For each host, the pages that contain a line are divided by the host's pages; a line above `ratio`, on at
 least `least` pages, is boilerplate and is dropped from every page of that host. DataFrame functions only.
 
+A host of many pages can have a lower bar as well: a line above the second share of `common`, on at least its number of
+pages, is boilerplate too. On few pages a low share is chance, so that number is larger than `least`.
+
 A line counts once for a page and is compared without the white space around it; blank lines are neither
-counted nor dropped. As each page adds its lines once, a host has at most (lines a page) / ratio boilerplate
+counted nor dropped. As each page adds its lines once, a host has at most (lines a page) / (the lower share) boilerplate
 lines, however many pages it has; so one short array for each host goes to its pages. It is broadcast if the
 counted hashes of all hosts are few, else joined (Spark splits a skewed host's pages).
 
@@ -21,6 +24,9 @@ from .common import BROADCAST_ROWS, settle
 
 RATIO = 0.2
 LEAST_PAGES = 3
+#: Lower bar for documents of a source: share and least pages. It stands in the gap of the shares of documents that pass the
+#: quality rules: one line from 0.087 (sf0.1) or 0.1 (check_s) up, all others up to 0.054 or 0.044.
+COMMON = (0.06, 20)
 
 
 def host_of(url: Column) -> Column:
@@ -40,19 +46,22 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, common: tuple[float, int] | None = None) -> DataFrame:
     """host, flagged: hashes of the boilerplate lines of the pages df (host, lines)."""
     pages = df.where("host is not null and lines is not null")
     distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _hash))
     counted = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").count().where(F.col("count") >= least)
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    over = counted.join(totals, "host").where(F.col("count") > ratio * F.col("pages"))
+    bar = F.col("count") > ratio * F.col("pages")
+    if common:
+        bar |= (F.col("count") > common[0] * F.col("pages")) & (F.col("count") >= common[1])
+    over = counted.join(totals, "host").where(bar)
     return over.groupBy("host").agg(F.collect_list("line").alias("flagged"))
 
 
-def drop_lines(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def drop_lines(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, common: tuple[float, int] | None = None) -> DataFrame:
     """df (host, lines, ...) with a column `kept`: the lines that are no boilerplate of the host."""
-    flagged = settle(boilerplate(df, ratio, least))
+    flagged = settle(boilerplate(df, ratio, least, common))
     held = flagged.agg(F.coalesce(F.sum(F.size("flagged")), F.lit(0))).first()[0]
     if held <= BROADCAST_ROWS:
         flagged = F.broadcast(flagged)
@@ -70,11 +79,11 @@ def clean_pages(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES
     return out.select("page_id", "host", n.cast("long").alias("n_lines"), (n - F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("kept"))).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
-def clean_documents(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def clean_documents(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, common: tuple[float, int] | None = None) -> DataFrame:
     """df without the boilerplate lines of its hosts; all rows and columns stay."""
     names = df.columns
     packed = df.select(F.col(host).cast("string").alias("host"), F.split(F.col(text), "\n", -1).alias("lines"), F.struct(*[df[f"`{c}`"] for c in names]).alias("row"))
-    out = drop_lines(packed, ratio, least)
+    out = drop_lines(packed, ratio, least, common)
     cleaned = F.when(F.size("kept") == F.size("lines"), F.col("row")[text]).otherwise(F.array_join("kept", "\n"))
     return out.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 

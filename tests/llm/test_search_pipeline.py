@@ -76,6 +76,16 @@ def test_stages_do_what_brute_force_does(spark, small):
     assert got == Counter({d: len(brute.words(t)) for d, t in want.items()})
 
 
+def test_line_dedup_drops_lines_of_a_tenth_of_a_large_source(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"own {i}\nplanted" if i % 10 == 0 else f"own {i}\nrare" if i % 20 == 1 else f"own {i}", "s") for i in range(400)]
+    rows += [(1000 + i, f"own {i}\nplanted" if i % 10 == 0 else f"own {i}", "t") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, small).collect()}
+    # 40 of 400 documents are above the lower bar, 20 of 400 are not, and 4 of 40 may be chance.
+    assert got == {i: t.replace("\nplanted", "") if s == "s" else t for i, t, s in rows}
+
+
 def test_stages_take_odd_rows(spark, odd, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = odd
