@@ -6,13 +6,14 @@ others that chance, over all candidates, does not explain it. Then the lexicon i
 worth is counted for each entry, for misspelt hits by length, and for hits inside and outside quotations.
 
 Match. The entries form a trie; its product with the Levenshtein automaton (0 errors for short entries and stems, 1 from
-FUZZY letters, 2 from VERY_FUZZY) is made deterministic state by state as texts need it, and all words of a chunk run
+FUZZY letters, 2 from VERY_FUZZY; two neighbours swapped are one error) is made deterministic state by state as texts need it, and all words of a chunk run
 through it in step, letter by letter; most die within a few letters. A misspelt word counts only if its first letter is
 the entry's own.
 
 Context. A hit is quoted if quotation marks open before and close after it within WINDOW words of its line. Hits in and
 outside quotations have their own odds, learned from the same rows over a prior under which a quotation is no abuse.
-A score is the logistic of the odds of a document without hits plus the weight of each entry's best hit.
+A score is the logistic of the odds of a document without hits plus the weight of each entry's best hit; a stem and its
+words count as one entry.
 
 Words are runs of letters and digits, lower-cased. Texts that are null or empty have no hits, and get the score of such a document.
 Repeated rows are scored each for itself; rows with a null id count as not held out and are never fitted. Without
@@ -80,18 +81,21 @@ class Lexicon:
 class Automaton:
     """The product of a trie and the Levenshtein automata of its entries, determinised where words lead.
 
-    A state is a set of (trie node, errors so far). Its payload is the entry that a word ending there stands
+    With `swaps`, two neighbouring letters that change places are one error, else two.
+    A state is a set of (trie node, errors so far); a negative node waits for the second of two letters that are
+    swapped, the earlier one of the entry, and is left by no other. Its payload is the entry that a word ending there stands
     for, with the fewest errors: 2 * entry + (errors > 0), or -1.
     """
 
-    def __init__(self, entries: list[tuple[str, bool]]):
-        self.entries = entries
+    def __init__(self, entries: list[tuple[str, bool]], swaps: bool = False):
+        self.entries, self.swaps = entries, swaps
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.reach: list[int] = [0]  # errors that some entry below a node allows
+        self.before: list[str] = [""]  # the last letter but one on the way to a node
         for e, (text, stem) in enumerate(entries):
             node = 0
-            allowed = self.allowed(e)
+            allowed, previous = self.allowed(e), ""
             self.reach[0] = max(self.reach[0], allowed)
             for c in text:
                 if c not in self.children[node]:
@@ -99,7 +103,8 @@ class Automaton:
                     self.children.append({})
                     self.ends.append([])
                     self.reach.append(0)
-                node = self.children[node][c]
+                    self.before.append(previous)
+                node, previous = self.children[node][c], c
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append(e)
         letters = sorted({c for text, _ in entries for c in text})
@@ -126,7 +131,7 @@ class Automaton:
         todo = list(found.items())
         while todo:
             node, e = todo.pop()
-            if node == 0 or found.get(node, 99) < e:
+            if node <= 0 or found.get(node, 99) < e:
                 continue
             for child in self.children[node].values():
                 if e + 1 <= self.reach[child] and found.get(child, 99) > e + 1:
@@ -142,7 +147,7 @@ class Automaton:
                 for name in ("table", "payload", "sticky"):
                     old = getattr(self, name)
                     setattr(self, name, np.concatenate([old, np.full_like(old, -1)]))
-            best = min(((err, e) for node, err in state for e in self.ends[node] if err <= self.allowed(e)), default=None)
+            best = min(((err, e) for node, err in state if node > 0 for e in self.ends[node] if err <= self.allowed(e)), default=None)
             self.payload[n] = -1 if best is None else 2 * best[1] + (best[0] > 0)
             stem = min((e for node, err in state if not err for e in self.ends[node] if self.entries[e][1]), default=None)
             self.sticky[n] = -1 if stem is None else 2 * stem
@@ -152,12 +157,18 @@ class Automaton:
         c = self.letters[letter]
         found: dict[int, int] = {}
         for node, err in self.sets[state]:
+            if node < 0:
+                if self.before[-node] == c and found.get(-node, 99) > err:
+                    found[-node] = err
+                continue
             for x, child in self.children[node].items():
                 e = err if x == c else err + 1
                 if node == 0 and e:  # the first letter is never misspelt
                     continue
                 if e <= self.reach[child] and found.get(child, 99) > e:
                     found[child] = e
+                if self.swaps and node and x != c and (swapped := self.children[child].get(c)) and err + 1 <= self.reach[swapped] and found.get(-swapped, 99) > err + 1:
+                    found[-swapped] = err + 1
             if node and err + 1 <= self.reach[node] and found.get(node, 99) > err + 1:
                 found[node] = err + 1
         return self._number(self._closed(found))
@@ -346,15 +357,15 @@ def _markers(counted: DataFrame) -> tuple[list[tuple[str, bool]], int, int]:
         # A stem stands for many forms: one that is nearly always the same word is that word.
         if not any(stem[:n] in stems for n in STEMS) and not any(w.startswith(stem) and n >= MOST_OF_STEM * found[f] for w, n in words.items()):
             stems.add(stem)
-    own = [w for w in words if not any(w[:n] in stems for n in STEMS)]
-    return [(s, True) for s in sorted(stems)] + [(w, False) for w in sorted(own)], toxic, clean
+    # A word stays beside its stem, which allows no errors.
+    return [(s, True) for s in sorted(stems)] + [(w, False) for w in sorted(words)], toxic, clean
 
 
 def _hit_counts(rows: DataFrame, entries: list[tuple[str, bool]]) -> dict[tuple[int, bool], list[int]]:
     """(2 * entry + misspelt, quoted) -> documents of label 0 and 1 with such a hit; (-1, False): without any."""
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(entries)
+        automaton = Automaton(entries, swaps=True)
         counts: Counter = Counter()
         for batch in batches:
             labels = np.asarray(batch.column(1))
@@ -404,10 +415,12 @@ class Scorer:
     """Scores texts by a lexicon."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.automaton = lexicon, Automaton(lexicon.entries)
+        self.lexicon, self.automaton = lexicon, Automaton(lexicon.entries, swaps=True)
         base = _logit(lexicon.without)
         self.base = base
         n = len(lexicon.entries)
+        stems = {text: e for e, (text, stem) in enumerate(lexicon.entries) if stem}
+        self.family = np.array([next((stems[text[:k]] for k in STEMS if text[:k] in stems), e) for e, (text, _) in enumerate(lexicon.entries)], np.int64)
         self.weight = np.zeros((2 * n + 1, 2))
         for e, (text, _) in enumerate(lexicon.entries):
             for miss, p in ((0, lexicon.exact[e]), (1, min(lexicon.exact[e], lexicon.misspelt[len(text)]))):
@@ -421,10 +434,10 @@ class Scorer:
             hits = find_hits(self.automaton, texts)
             if len(hits.doc):
                 n = len(self.lexicon.entries)
-                key = hits.doc * n + hits.payload // 2
+                key = hits.doc * n + self.family[hits.payload // 2]
                 worth = self.weight[hits.payload, hits.quoted.astype(int)]
                 order = np.lexsort((worth, key))
-                last = np.append(key[order][1:] != key[order][:-1], True)  # the best hit of an entry in a document
+                last = np.append(key[order][1:] != key[order][:-1], True)  # the best hit of an entry, or of a stem and its words, in a document
                 np.add.at(total, hits.doc[order[last]], worth[order[last]])
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 

@@ -137,6 +137,63 @@ def test_the_automaton_knows_edit_distance(stem):
             assert i not in got, w
 
 
+def _restricted_damerau(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
+
+
+def test_swapped_neighbours_are_one_error():
+    rng = random.Random(3)
+    entries = [("idiot", False), ("idiom", False), ("worthless", False), ("scum", False), ("moron", False), ("stupid", False)]
+    automaton = toxicity.Automaton(entries, swaps=True)
+    words = []
+    for e, _ in entries:
+        for _ in range(400):
+            w = list(e)
+            for _ in range(rng.randint(1, 3)):
+                kind, at = rng.randint(0, 3), rng.randrange(len(w) - 1)
+                if kind == 0:
+                    w[at] = rng.choice("abcdeilmoprstwz")
+                elif kind == 1 and len(w) > 2:
+                    del w[at]
+                elif kind == 2:
+                    w.insert(at, rng.choice("abcdeilmoprstwz"))
+                else:
+                    w[at], w[at + 1] = w[at + 1], w[at]
+            words.append("".join(w))
+    hits = toxicity.find_hits(automaton, words)
+    got = dict(zip(hits.doc.tolist(), hits.payload.tolist(), strict=True))
+    assert len(got) > 500
+    for i, w in enumerate(words):
+        near = [2 * e + (w != x) for e, (x, _) in enumerate(entries) if w[:1] == x[:1] and _restricted_damerau(w, x) <= automaton.allowed(e)]
+        assert got[i] in near if near else i not in got, w
+
+
+def test_each_misspelling_is_found_in_a_text_of_its_own(spark):
+    docs, labels = _corpus(spark)
+    lexicon = toxicity.fit(docs, labels)
+    texts = ["bavin you idoit kosal", "bavin you idot kosal", "bavin you idiiot kosal", "bavin you idxot kosal", "bavin you mroon kosal", "bavin you wortless kosal", "bavin you ahpteteic kosal"]
+    extra = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(extra, lexicon).collect()}
+    assert all(score[i] >= 0.7 for i in range(6)), score
+    assert score[6] < 0.2
+
+
+def test_words_stay_beside_their_stem(spark):
+    rows = [(f, t, 0) for f, t in (("^idio", 120), ("idiot", 60), ("idiocy", 60))] + [("", 300, 1000)]
+    entries, _, _ = toxicity._markers(spark.createDataFrame(rows, "feature string, toxic long, clean long"))
+    assert entries == [("idio", True), ("idiocy", False), ("idiot", False)]
+    hits = toxicity.find_hits(toxicity.Automaton(entries, swaps=True), ["idiots", "idoit", "idiot", "idoicy"])
+    assert dict(zip(hits.doc.tolist(), hits.payload.tolist(), strict=True)) == {0: 0, 1: 5, 2: 4, 3: 3}
+
+
 def _corpus(spark):
     """Toxic texts of four insults, clean ones of the same prose, some held out."""
     rng = random.Random(4)
