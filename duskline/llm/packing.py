@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, settle
+from .neardup import near_duplicates
 from .textbytes import SPACE_SPLIT, chunks, mix, spans, word_hashes
 
 CAPACITY = 2048
@@ -125,3 +126,15 @@ def pack(df: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, doc
     if not dealt.groupBy("key", "id").count().where(F.col("count") > group_rows // 4).isEmpty():  # rows repeated past counting: deal them singly
         dealt = rows.withColumn("group", F.expr(f"pmod(xxhash64(key, id, monotonically_increasing_id()), {groups})"))
     return dealt.groupBy("group").applyInArrow(on_table, schema)
+
+
+def near_clusters(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The id, text and source of every row of df with `near_cluster`, the same for near-duplicates, for pack().
+
+    It is the least id of the group, or the hash of the text where no row of the group has an id.
+    """
+    found = near_duplicates(df, k, doc_id, text).groupBy("id", "text_hash").agg(F.min(F.coalesce("component_id", "text_hash")).alias("near_cluster"))
+    found = found.select(F.col("id").alias("n_id"), F.col("text_hash").alias("n_hash"), "near_cluster")
+    rows = df.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), F.col(source).alias(source))
+    joined = rows.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("n_id")) & (F.xxhash64(text) == F.col("n_hash")), "left")
+    return joined.select(doc_id, text, source, "near_cluster")

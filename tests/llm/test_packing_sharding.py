@@ -83,6 +83,17 @@ def test_packing_the_table(spark, small, documents):
     assert queries.op2_best_fit_packing(spark, small).count() == len(rows)
 
 
+def test_near_copies_share_no_bin(spark, tmp_path, odd):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"]), f"s{i}") for i in range(4)] + [(10, "some other text", "s"), (None, "alone", "s"), (None, "alone too", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    near = [r for r in got if r.doc_id is not None and r.doc_id < 4]
+    assert len(got) == len(rows) and len({r.bin for r in near}) == 4 and len({r.cluster for r in near}) == 1
+    assert len({r.cluster for r in got}) == 4
+    assert packing.near_clusters(odd).count() == odd.count()
+
+
 def shard_rows(df, shards):
     rows = sharding.by_bytes(df, shards).collect()
     by = defaultdict(list)
