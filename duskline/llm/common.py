@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +19,69 @@ from pyspark.sql import types as T
 
 #: Rows of a few numbers that may be broadcast (about 30 MB); callers count first and shuffle beyond it.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch while a table is settled; Spark's own 64 MB, held by JVM and worker at once, is much for a small executor.
+BATCH_BYTES = "8m"
+#: Rows of a key, at least, before spread_join() splits it.
+HOT_ROWS = 256
 _own_folder: list[str] = []
 _settled: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a local one of a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="duskline-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return _own_folder[0]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/duskline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """big joined with small, which has one row for each key at most; rows of a hot key of big go to many tasks.
+
+    A key is hot above HOT_ROWS rows and above a quarter of a task's mean share, so hot keys are at most four times the
+    shuffle partitions; only their counts are broadcast. The row of small is repeated for each part of a hot key.
+    big is read twice (counted first), so it should be settled. Null keys match nothing. counted: big's keys and their rows `__n`, if known.
+    """
+    rows = big.count()
+    least = max(HOT_ROWS, rows // (4 * shuffle_partitions(big.sparkSession)))
+    counted = big.groupBy(*keys).agg(F.count("*").alias("__n")) if counted is None else counted
+    hot = settle(counted.where(F.col("__n") > least).select(*keys, F.expr(f"int(ceil(__n / {least}))").alias("__parts")))
+    if hot.isEmpty():
+        return big.join(small, list(keys), how)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = big.join(hot, list(keys), "left").withColumn("__part", F.pmod(F.xxhash64(*big.columns), parts)).drop("__parts")
+    copies = small.join(hot, list(keys), "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("__parts")
+    return dealt.join(copies, [*keys, "__part"], how).drop("__part")
+
+
 def settled() -> list[str]:
     """The folders of all settled tables that this process has made and not deleted."""
     return list(_settled)
@@ -50,6 +95,8 @@ def release(spark: SparkSession, folders: list[str] | None = None) -> None:
             _settled.remove(folder)
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # Spark deletes the shuffle files of finished steps once the driver's garbage is collected
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

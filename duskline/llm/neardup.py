@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column, settle
+from .common import BROADCAST_ROWS, column, release, settle, settled, spread_join
 from .graph import components
 from .textbytes import SPACE_SPLIT, Chunk, chunks, mix, spans, windows, word_hashes
 
@@ -42,7 +42,8 @@ BANDS = T // ROWS
 SIMILARITY = (80, 100)
 #: A pair at the threshold falls below this share of equal coordinates with probability under 3e-7 (five standard deviations).
 LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / T) ** 0.5
-BLOCK = 256
+#: Classes of a block, and blocks of a bucket that one task meets with the bucket's minor blocks.
+BLOCK, PART = 256, 8
 _FULL = np.uint64((1 << 64) - 1)
 _SEEDS = mix(np.arange(1, 2 * T + BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -196,14 +197,16 @@ def _open_lists(members: DataFrame, labels: DataFrame, signed: DataFrame) -> Dat
     state = named.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("main != hi and n > 2").select("bucket", "main")
     rows = settle(named.join(state, "bucket").withColumn("minor", F.col("comp") != F.col("main")).drop("main"))
     # Both sides are dealt into blocks apart, so that a few classes outside the main component meet it as one block.
-    blocks = rows.groupBy("bucket", "minor").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
-    rows = rows.join(blocks, ["bucket", "minor"]).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
+    sizes = settle(rows.groupBy("bucket", "minor").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks")))
+    rows = spread_join(rows, sizes, ["bucket", "minor"]).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
     sketch = signed.where("sketch is not null").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("n").alias("size"))
     blocks = rows.join(sketch, "cls").groupBy("bucket", "minor", "block").agg(F.collect_list(F.struct("cls", "comp", "size", "sketch", "bands")).alias("own"))
     blocks = settle(blocks)
-    left = blocks.where("minor").select("bucket", F.col("block").alias("x_block"), F.col("own").alias("x"))
-    right = blocks.select("bucket", "minor", "block", F.col("own").alias("y"))
-    pairs = left.join(right, "bucket").where("not minor or x_block <= block").select(F.xxhash64("bucket", "x_block", "minor", "block").alias("list"), "bucket", "x", "y")
+    # A bucket's blocks are dealt into parts of PART blocks, and its minor blocks go to each part.
+    parts = sizes.groupBy("bucket").agg(F.expr(f"int((max(blocks) - 1) div {PART})").alias("last"))
+    left = blocks.where("minor").join(parts, "bucket").select("bucket", F.explode(F.expr("sequence(0, last)")).alias("part"), F.col("block").alias("x_block"), F.col("own").alias("x"))
+    right = blocks.select("bucket", F.expr(f"int(block div {PART})").alias("part"), "minor", "block", F.col("own").alias("y"))
+    pairs = left.join(right, ["bucket", "part"]).where("not minor or x_block <= block").select(F.xxhash64("bucket", "x_block", "minor", "block").alias("list"), "bucket", "x", "y")
 
     def unpack(rows: pa.Array) -> tuple[np.ndarray, ...]:
         flat = rows.flatten() if isinstance(rows, pa.ListArray) else rows
@@ -295,11 +298,13 @@ def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(df: DataFrame, k: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of df: id, text_hash, n_shingles, component_id, kept."""
     keyed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    before = settled()
     signed, labels = linked(keyed, k)
     rows = signed.select("id", "text_hash", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = settle(rows.select("id", "text_hash", "n", "comp"))
+    release(df.sparkSession, [x for x in settled()[:-1] if x not in before])
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("comp", "least")
-    out = rows.join(least.withColumn("in_group", F.lit(True)), "comp", "left")
+    out = spread_join(rows, settle(least.withColumn("in_group", F.lit(True))), ["comp"], "left")
     component = F.when(F.col("in_group"), F.col("least")).otherwise(F.col("id"))
     return out.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
