@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,28 +22,35 @@ DEFAULT_DISTANCE = 2
 
 def token_set(text: Column) -> Column:
     """Distinct lower-cased runs of ASCII letters and digits, in order of appearance."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), NOT_ASCII_WORD), ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of any script, without stop words; repeats stay."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"{LETTER}+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def has_token(text: Column) -> Column:
-    """Whether a text has any token, without taking it apart."""
-    return F.lower(text).rlike(TOKEN)
+def presence(text: Column, words: Sequence[str]) -> Column:
+    """A struct: whether a text has any token (`any`), and whether it has each of these (`k0`, `k1`, ...), without taking it apart."""
 
+    def found(lowered: Column) -> Column:
+        return F.struct(lowered.rlike(TOKEN).alias("any"), *[_holds(lowered, [w], LETTER).alias(f"k{i}") for i, w in enumerate(words)])
 
-def has_any(text: Column, words: Sequence[str], ascii_only: bool = False) -> Column:
-    """Whether one of these tokens stands in a text, without taking it apart."""
-    letter, lowered = "[a-zA-Z0-9]" if ascii_only else LETTER, F.lower(text)
+    return once(F.lower(text), found)
+
+
+def _holds(lowered: Column, words: Sequence[str], letter: str) -> Column:
     near = F.lit(False)
     for w in words:  # a plain search for bytes, before the pattern
         near = near | lowered.contains(w)
     return near & lowered.rlike(rf"(?<!{letter})(?:{'|'.join(words)})(?!{letter})")  # tokens are letters and digits only
 
 
+def has_any(text: Column, words: Sequence[str], ascii_only: bool = False) -> Column:
+    """Whether one of these tokens stands in a text, without taking it apart."""
+    return once(F.lower(text), lambda lowered: _holds(lowered, words, "[a-zA-Z0-9]" if ascii_only else LETTER))
+
+
 def fuzzy_distance(text: Column, term: str, most: int = DEFAULT_DISTANCE) -> Column:
     """Case-insensitive Levenshtein distance of whole texts up to `most`, else null.
 
@@ -59,11 +66,22 @@ def ascii_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(NOT_ASCII_WORD, query.lower()) if t))
 
 
+def once(made: Column, use: Callable[[Column], Column]) -> Column:
+    """use(made), with made computed once for a row however often use reads it (Catalyst would copy the expression into each place)."""
+    return F.transform(F.array(made), use)[0]
+
+
 def overlap(text: Column, query: str) -> Column:
     """Share of a text's token set that the query's tokens make up; 0 without common tokens, null for null."""
-    own, asked = token_set(text), F.array(*[F.lit(t) for t in ascii_tokens(query)]).cast("array<string>")
-    n = F.size(F.array_intersect(own, asked))
-    return F.when(text.isNotNull(), F.when(n > 0, n / F.size(own)).otherwise(F.lit(0.0)))
+    asked = ascii_tokens(query)
+
+    def share(own: Column) -> Column:
+        n = F.lit(0)
+        for t in asked:
+            n = n + F.array_contains(own, t).cast("int")
+        return F.coalesce(F.try_divide(n, F.size(own)), F.lit(0.0))
+
+    return F.when(text.isNotNull(), once(token_set(text), share))
 
 
 def matches(text: Column, pattern: str) -> Column:

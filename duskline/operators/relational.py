@@ -70,17 +70,30 @@ def filter_in(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame
 
 def filter_in_rows(df: DataFrame, column: str, other: DataFrame, negated: bool = False) -> DataFrame:
     """Rows whose value is (not) in the first column of other. A null value is neither in nor out."""
-    c, kind = typed(df, column)
-    first = other.columns[0]
-    given = other.select(quoted(first).alias("__in")).where("__in is not null")
-    key = F.col("__in")
-    if given.schema["__in"].dataType != kind and not (isinstance(kind, T.NumericType) and isinstance(given.schema["__in"].dataType, T.NumericType)):
-        c, key = c.cast("string"), key.cast("string")
+    c, key, given = _comparable(df, column, other)
     if negated:
         return df.where(c.isNotNull()).join(given, c == key, "left_anti")
     return df.join(given, c == key, "left_semi")
 
 
+def _comparable(df: DataFrame, column: str, other: DataFrame) -> tuple[Column, Column, DataFrame]:
+    """A column of df, the values of other's first column to compare it with, and those values as `__in`, without nulls."""
+    c, kind = typed(df, column)
+    given = other.select(quoted(other.columns[0]).alias("__in")).where("__in is not null")
+    key = F.col("__in")
+    if given.schema["__in"].dataType != kind and not (isinstance(kind, T.NumericType) and isinstance(given.schema["__in"].dataType, T.NumericType)):
+        return c.cast("string"), key.cast("string"), given
+    return c, key, given
+
+
+def mark_in_rows(df: DataFrame, column: str, other: DataFrame, mark: str) -> DataFrame:
+    """df with a Boolean column: whether its value is in the first column of other; null for a null value."""
+    c, key, given = _comparable(df, column, other)
+    found = given.select(key.alias("__in")).distinct().withColumn("__found", F.lit(True))
+    joined = df.join(found, c == F.col("__in"), "left")
+    return joined.withColumn(mark, F.when(c.isNotNull(), F.col("__found").isNotNull())).drop("__in", "__found")
+
+
 def filter_between(df: DataFrame, column: str, low: object, high: object) -> DataFrame:
     return df.where(coerce.between(*typed(df, column), low, high))
 

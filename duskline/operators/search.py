@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,9 @@ DISTANCE = "__fuzzy_distance"
 def overlap_search(df: DataFrame, column: str, query: str, limit: int | None = None) -> DataFrame:
     """Rows that share a token with the query, with their relevance; best first."""
     c, asked = quoted(name_of(df, column)).cast("string"), text.ascii_tokens(query)
-    near = df.where(text.has_any(c, asked, ascii_only=True) if asked else F.lit(False))
+    if not asked:
+        return _ranked(df.where(F.lit(False)).withColumn(RELEVANCE, F.lit(0.0)), F.col(RELEVANCE).desc(), limit)
+    near = df.where(text.has_any(c, asked, ascii_only=True))
     return _ranked(near.withColumn(RELEVANCE, text.overlap(c, query)), F.col(RELEVANCE).desc(), limit)
 
 
@@ -54,14 +56,19 @@ def tfidf_search(df: DataFrame, row_id: str, column: str, query: str, limit: int
     wanted, c = sorted(set(asked)), quoted(column).cast("string")
     if not wanted:
         return df.select(quoted(row_id).alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
-    held = df.agg(F.count_if(text.has_token(c)).alias("rows"), *[F.count_if(text.has_any(c, [w])).alias(f"k{i}") for i, w in enumerate(wanted)]).first()
-    rows = df.where(text.has_any(c, wanted)).select(quoted(row_id).alias("row_id"), text.tokens(c).alias("tokens"))
-    score = F.lit(0.0)
-    for i, w in enumerate(wanted):
-        if held[f"k{i}"]:
-            times = F.size("tokens") - F.size(F.array_remove("tokens", w))
-            score = score + times / F.size("tokens") * F.log(F.lit(held["rows"] / held[f"k{i}"])) * F.lit(asked.count(w))
-    return _ranked(rows.select(F.col("row_id").alias(row_id), score.alias(RELEVANCE)), F.col(RELEVANCE).desc(), limit)
+    seen = df.select(text.presence(c, wanted).alias("p"))
+    held = seen.agg(F.count_if("p.any").alias("rows"), *[F.count_if(f"p.k{i}").alias(f"k{i}") for i in range(len(wanted))]).first()
+
+    def score(own: Column) -> Column:
+        total = F.lit(0.0)
+        for i, w in enumerate(wanted):
+            if held[f"k{i}"]:
+                times = F.size(own) - F.size(F.array_remove(own, w))
+                total = total + times / F.size(own) * F.log(F.lit(held["rows"] / held[f"k{i}"])) * F.lit(asked.count(w))
+        return total
+
+    rows = df.where(text.has_any(c, wanted))
+    return _ranked(rows.select(quoted(row_id).alias(row_id), text.once(text.tokens(c), score).alias(RELEVANCE)), F.col(RELEVANCE).desc(), limit)
 
 
 def indexed_search(index: DataFrame, query: str, n_rows: int, row_id: str = "row_id", limit: int | None = None) -> DataFrame:

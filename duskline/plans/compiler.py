@@ -162,12 +162,55 @@ class Compiler:
 
     # Predicates.
 
+    def marked(self, scope: Scope, where):
+        """The scope with a Boolean column for each IN (SELECT ...) below OR or NOT, and the predicate that reads these columns.
+
+        Each is a left join with the distinct values of its query, so no row is repeated. A null on the left is unknown.
+        """
+        marks: list[str] = []
+
+        def lowered(node):
+            nonlocal scope
+            if isinstance(node, g.Both):
+                return g.Both(node.op, tuple(lowered(p) for p in node.parts))
+            if isinstance(node, g.Not):
+                return g.Not(lowered(node.part))
+            if not isinstance(node, g.In) or node.query is None:
+                return node
+            found, mark = scope.find(node.left), f"__in{len(marks)}"
+            marks.append(mark)
+            if found is None:
+                scope = Scope(scope.df.withColumn(mark, F.lit(None).cast("boolean")), scope.prefixes)
+            else:
+                scope = Scope(relational.mark_in_rows(scope.df, found, self._values(node), mark), scope.prefixes)
+            return g.Marked(mark, node.negated)
+
+        made = lowered(where)
+        return scope, made, marks
+
+    def filtered_rows(self, df: DataFrame, where) -> DataFrame:
+        """The rows of a single table's frame that a predicate without ranking holds for, with df's columns."""
+        scope, made, marks = self.marked(Scope(df, {}), where)
+        return scope.df.where(self.predicate(scope, made)).drop(*marks)
+
+    def flagged_rows(self, df: DataFrame, where, flag: str) -> DataFrame:
+        """df with a column that says whether a predicate holds."""
+        scope, made, marks = self.marked(Scope(df, {}), where)
+        return scope.df.withColumn(flag, F.coalesce(self.predicate(scope, made), F.lit(False))).drop(*marks)
+
     def filtered(self, scope: Scope, where, table: g.Table) -> tuple[Scope, list[Column]]:
         """The rows that a predicate leaves, and the order that its searches give them.
 
         Conjuncts that plainly filter come first: they reach the scan, and searches see fewer rows.
         """
         parts = list(where.parts) if isinstance(where, g.Both) and where.op == "and" else [where]
+        nested = [p for p in parts if isinstance(p, (g.Both, g.Not)) and _asks(p)]
+        if nested:
+            scope, order = self.filtered(scope, g.Both("and", tuple(rest)), table) if (rest := [p for p in parts if p not in nested]) else (scope, [])
+            for p in nested:
+                marked, made, marks = self.marked(scope, p)
+                scope = Scope(marked.df.where(self.predicate(marked, made)).drop(*marks), scope.prefixes)
+            return scope, order
         plain = [p for p in parts if not isinstance(p, (g.In, g.Search)) or (isinstance(p, g.In) and p.query is None) or (isinstance(p, g.Search) and p.kind in ("like", "regex"))]
         for p in plain:
             scope = Scope(scope.df.where(self.predicate(scope, p)), scope.prefixes)
@@ -199,8 +242,7 @@ class Compiler:
             return df, F.col(search.DISTANCE).asc()
         index = self.postings(table.db, table.name, found) if len(scope.prefixes) == 1 and self.row_id in scope.df.columns else None
         if index is not None:
-            n_rows = index.select("row_id").distinct().count()
-            hits = search.indexed_search(index, asked, n_rows, "__hit")
+            hits = search.indexed_search(index[0], asked, index[1], "__hit")
             df = scope.df.join(hits, relational.quoted(self.row_id) == F.col("__hit")).drop("__hit")
             return df, F.col(search.RELEVANCE).desc()
         c, words = relational.quoted(found).cast("string"), text.ascii_tokens(asked)
@@ -216,6 +258,8 @@ class Compiler:
             return out
         if isinstance(node, g.Not):
             return ~self.predicate(scope, node.part)
+        if isinstance(node, g.Marked):
+            return ~F.col(node.column) if node.negated else F.col(node.column)
         if isinstance(node.left, g.Item):
             raise CompileProblem("aggregates stand in HAVING only")
         found = scope.typed(node.left)
@@ -245,6 +289,15 @@ class Compiler:
         return text.overlap(as_text, str(node.value)) > 0
 
 
+def _asks(node) -> bool:
+    """Whether an IN (SELECT ...) stands in a predicate."""
+    if isinstance(node, g.Both):
+        return any(_asks(p) for p in node.parts)
+    if isinstance(node, g.Not):
+        return _asks(node.part)
+    return isinstance(node, g.In) and node.query is not None
+
+
 def _value(value: object) -> object:
     if isinstance(value, g.Now):
         import datetime as dt

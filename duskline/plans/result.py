@@ -21,12 +21,17 @@ class Result:
     explain: str | None = None
     runtime_ms: int = 0
     details: dict = field(default_factory=dict)
+    #: The last call of rows() or to_json() left rows out.
+    truncated: bool = False
 
-    def rows(self, limit: int = 10_000) -> list[dict]:
-        """At most `limit` rows on the driver; larger results belong in a sink."""
+    def rows(self, limit: int | None = 10_000) -> list[dict]:
+        """Rows on the driver, at most `limit` (None: all); `truncated` says whether there are more. Large results belong in a sink."""
+        self.truncated = False
         if self.df is None:
             return []
-        return [json.loads(x) for x in self.df.limit(limit).toJSON().collect()]
+        found = (self.df if limit is None else self.df.limit(limit + 1)).toJSON().collect()
+        self.truncated = limit is not None and len(found) > limit
+        return [json.loads(x) for x in (found[:limit] if self.truncated else found)]
 
     def measured(self) -> dict:
         """Run the query to its end, keep nothing, and say how many rows it made and how long that took."""
@@ -36,8 +41,14 @@ class Result:
         self.df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
         return {"rows": seen.get["rows"], "runtime_ms": int(1000 * (time.monotonic() - began))}
 
-    def to_json(self, limit: int = 10_000) -> str:
-        made = {"query": self.query, "executed": self.executed, "runtime": self.runtime_ms, "list": self.rows(limit)}
+    def to_json(self, limit: int | None = 10_000) -> str:
+        made = {"query": self.query, "executed": self.executed, "runtime": self.runtime_ms, "list": []}
+        try:
+            made["list"] = self.rows(limit)
+        except Exception as e:  # rows are read here, so errors of reading belong to the statement
+            self.error = str(e).splitlines()[0] if str(e) else type(e).__name__
+        if self.truncated:
+            made["truncated"] = True
         if self.error:
             made["error"] = self.error
         if self.explain:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,10 +35,14 @@ _own_folder: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """A folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a local one of a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="duskline-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return _own_folder[0]

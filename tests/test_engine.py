@@ -170,6 +170,8 @@ def test_definitions(engine):
     assert ok(engine, "describe database d")[0]["table"] == "t"
     ok(engine, "drop table d.t")
     assert ok(engine, "show d tables") == ok(engine, "show tables in d") == []
+    assert "not allowed" in error(engine, "delete everything")
+    engine.allow_delete_everything = True
     ok(engine, "delete everything")
     assert ok(engine, "show databases") == []
 
@@ -269,6 +271,60 @@ def test_registered_files(engine, small):
     assert len(ok(engine, "select * from tpch.nation")) == 24
 
 
+@pytest.mark.parametrize("folder", ["with a space", "100%", "per%20cent", "añb 日本", "plain"])
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_changes_below_odd_roots(spark, tmp_path, folder, scheme):
+    e = Engine(spark, f"{scheme}{tmp_path}/{folder}")
+    ok(e, "create database d; insert into d.t (x, y) values (1, 'a'), (2, 'b'), (3, 'c')")
+    (r,) = e.query("update d.t set y = 'z' where x = 1")
+    assert r.error is None and r.details["rows"] == 1
+    (r,) = e.query("delete from d.t where x = 2")
+    assert r.error is None and r.details["rows"] == 1
+    assert sorted((r["x"], r["y"]) for r in ok(e, "select x, y from d.t")) == [(1, "z"), (3, "c")]
+
+
+def test_only_files_with_matches_are_rewritten(engine, spark):
+    engine.catalog.append("d", "t", spark.range(0, 1000, 1, 5).selectExpr("id", "id div 200 as part"))
+    before = engine.catalog._files(engine.catalog.manifest("d", "t").parts[0])
+    assert len(before) == 5
+    (r,) = engine.query("update d.t set part = 9 where id = 500")
+    after = engine.catalog.manifest("d", "t").parts
+    assert r.details["rows"] == 1 and len(set(before) & set(after)) == 4 and len(after) == 5
+    assert engine.catalog.vacuum("d", "t") > 0
+    assert len(ok(engine, "select id from d.t")) == 1000 and ok(engine, "select id from d.t where part = 9") == [{"id": 500}]
+    ok(engine, "delete from d.t where id < 200; delete from d.t where part = 9")
+    assert len(ok(engine, "select id from d.t")) == 799
+
+
+def test_matches_in_no_file_are_an_error(people, monkeypatch):
+    monkeypatch.setattr(type(people.catalog), "_touched", lambda self, m, files: ([], list(m.parts)))
+    assert "no file" in error(people, "delete from d.people where age = 30")
+
+
+def test_subqueries_anywhere(people):
+    ok(people, "insert into d.pick (n) values ('Alice'), ('Bob')")
+    names = lambda where: sorted(r["name"] for r in ok(people, f"select name from d.people where {where}"))
+    assert names("name in (select n from d.pick) or age = 35") == ["Alice", "Bob", "Charlie"]
+    assert names("not (name in (select n from d.pick)) or age = 25") == ["Alice", "Charlie"]
+    assert names("(name not in (select n from d.pick) or age > 28) and age < 33") == ["Bob"]
+    (r,) = people.query("update d.people set age = 1 where name in (select n from d.pick)")
+    assert r.details["rows"] == 2
+    (r,) = people.query("delete from d.people where age = 35 or name in (select n from d.pick where n = 'Bob')")
+    assert r.details["rows"] == 2 and names("age = 1") == ["Alice"]
+    assert [c for c in people.catalog.read("d", "people").columns if c.startswith("__")] == ["__uuid"]
+
+
+def test_a_cut_result_says_so(people):
+    (r,) = people.query("select name from d.people")
+    assert len(r.rows(2)) == 2 and r.truncated and '"truncated": true' in r.to_json(2)
+    assert len(r.rows(3)) == 3 and not r.truncated and "truncated" not in r.to_json() and len(r.rows(None)) == 3
+
+
+def test_no_exception_leaves_a_statement(spark):
+    (r,) = Engine(spark, "nosuchscheme://store/root").query("show databases")
+    assert not r.executed and r.error
+
+
 def test_odd_inserts(engine):
     assert "does not exist" in error(engine, "insert into none.t (a) values (1)")
     ok(engine, "insert into d.t ('hello') values('world')")

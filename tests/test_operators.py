@@ -263,5 +263,6 @@ def test_streamed_changes(spark, tmp_path):
     for rows in ([("a", "1", 1, "PUT"), ("b", "1", 2, "PUT")], [("a", "2", 3, "PUT"), ("b", None, 4, "DELETE")], [("b", "old", 1, "PUT")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         changes.apply_changes(spark.readStream.schema(schema).parquet(src), catalog, "d", "t").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.key, r.value) for r in changes.current(catalog, "d", "t").collect()] == [("a", "2")] and len(catalog.manifest("d", "t").parts) > 1
     changes.purge(catalog, "d", "t")
     assert [(r.key, r.value) for r in catalog.read("d", "t").collect()] == [("a", "2")]
