@@ -1,21 +1,25 @@
 """License scans with a positional index of rare template words.
 
-Templates are short licence texts. Document frequencies of their words are counted over the whole
-corpus (one row per template word comes back: bounded by the templates), the rarest words of each
-template become its anchors, and a file that holds an anchor is aligned with the template: every
-occurrence of a template word votes for the offset (place in the file minus place in the template),
-and the offset with most IDF-weighted votes is the match. A match names a licence only if the
-template's mandatory key phrase also stands in the file word by word.
-
-Words: A-Z folded to a-z, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Base phrases are counted
-wherever their words stand consecutively, overlapping places included. A null text is the empty one:
-no words, no labels, score 0. Repeated rows are scanned each for itself; of ties between offsets the
-smallest wins.
+Templates are licence texts and notices. Document frequencies of their words are counted over the whole corpus (one row
+for each template word comes back: bounded by the templates), and the words of highest IDF of each template are entered
+in the index: word -> (template, position). A file is scanned through it:
+
+1. its licence words of highest IDF, those that the index holds, are looked up;
+2. postings are intersected by relative position: place in the file minus position in the template. An offset at which at
+   least half of a template's entries stand is a candidate;
+3. the template's mandatory key phrase must stand in the file word by word;
+4. the whole template is laid over the file at the offset: the score is the share of its IDF weight that stands in place, and
+   the best offset counts (of equal ones the smallest). From MIN_SCORE on the file has the template's label.
+
+Words: A-Z folded to a-z, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Base phrases are counted wherever their words stand
+consecutively, overlapping places included. A null text is the empty one: no words, no labels, score 0. Repeated rows are scanned
+each for itself. Words of equal IDF are entered in the order of their spelling.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column
+from .licence_texts import TEMPLATES
 from .textbytes import ALNUM_SPLIT, Chunk, Words, chunks, hash_bytes, spans, word_hashes
 
 #: phrase -> label of the base
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label -> (template text, mandatory key phrase)
-TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    "mit-notice": ("released under the mit license", "under the mit license"),
-    "apache-2.0-notice": ("licensed under the apache license version 2 0", "apache license version 2"),
-    "gpl-3.0-notice": ("this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    "cc-by-nc-4.0-notice": ("licensed under cc by nc 4 0", "cc by nc 4 0"),
-    "apache-2.0": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2"),
-    "gpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    "lgpl": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "released into the public domain"),
-}
-#: Rarest words of a template that open its alignment, and the least share of its IDF weight that must align.
-ANCHORS = 4
+#: Words of highest IDF of a template that are entered in the index, and the least share of its IDF weight that must stand in place.
+ANCHORS = 8
 MIN_SCORE = 0.5
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template or phrase."""
+    return _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
 def _hash(word: str) -> int:
@@ -55,9 +50,9 @@ def _hash(word: str) -> int:
 class Vocabulary:
     """The words of templates and phrases, numbered in the order of their hashes."""
 
-    def __init__(self, templates: dict, phrases: dict):
-        texts = [t for pair in templates.values() for t in pair] + list(phrases)
-        words = sorted({w for t in texts for w in t.split()}, key=_hash)
+    def __init__(self, templates: Sequence[tuple[str, str, str]], phrases: dict):
+        texts = [t for _, *pair in templates for t in pair] + list(phrases)
+        words = sorted({w for t in texts for w in words_of(t)}, key=_hash)
         self.words = words
         self.number = {w: i for i, w in enumerate(words)}
         self.hashes = np.array([_hash(w) for w in words], np.uint64)
@@ -68,7 +63,7 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashed, at, -1)
 
     def phrase(self, text: str) -> np.ndarray:
-        return np.array([self.number[w] for w in text.split()])
+        return np.array([self.number[w] for w in words_of(text)])
 
 
 def places(numbers: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -109,42 +104,57 @@ def document_frequencies(df: DataFrame, vocabulary: Vocabulary, text: str = "tex
 
 
 class Scanner:
-    """Templates with their positional postings, ready to be aligned with files."""
+    """The positional index of the templates, ready to scan files."""
 
-    def __init__(self, templates: dict, phrases: dict, vocabulary: Vocabulary, total: int, frequency: np.ndarray):
+    def __init__(self, templates: Sequence[tuple[str, str, str]], phrases: dict, vocabulary: Vocabulary, total: int, frequency: np.ndarray):
         self.vocabulary = vocabulary
         self.idf = np.log((1 + total) / (1 + frequency)) + 1e-6
         self.phrases = [(vocabulary.phrase(p), label) for p, label in phrases.items()]
-        self.templates = []
-        for label, (text, key) in templates.items():
-            words = vocabulary.phrase(text)
-            order = sorted(dict.fromkeys(words.tolist()), key=lambda w: (-self.idf[w], w))
-            self.templates.append((label, words, vocabulary.phrase(key), np.array(order[:ANCHORS]), float(self.idf[words].sum())))
-
-    def matches(self, numbers: np.ndarray, doc: np.ndarray) -> list[tuple[int, str, float]]:
-        """(document, label, share of the template's weight that aligns) for each confirmed template."""
+        self.templates = [(label, vocabulary.phrase(text), vocabulary.phrase(key)) for label, text, key in templates]
+        self.weights = [float(self.idf[words].sum()) for _, words, _ in self.templates]
+        entries = []
+        self.entered = np.zeros(len(self.templates), np.int64)
+        for t, (_, words, _) in enumerate(self.templates):
+            rarest = sorted(set(words.tolist()), key=lambda w: (-self.idf[w], vocabulary.words[w]))[:ANCHORS]
+            found = [(w, t, p) for p, w in enumerate(words.tolist()) if w in rarest]
+            self.entered[t] = len(found)
+            entries += found
+        word, self.template, self.position = np.array(sorted(entries)).T
+        self.first = np.searchsorted(word, np.arange(len(vocabulary.words) + 1))
+
+    def candidates(self, numbers: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows (document, template, offset in the document) at which half of a template's entries or more stand, in that order."""
         known = np.flatnonzero(numbers >= 0)
-        near, near_doc = numbers[known], doc[known]
-        found = []
-        for label, words, key, anchors, weight in self.templates:
-            keyed = np.unique(doc[places(numbers, doc, key)])
-            if not len(keyed):
+        lo, n = self.first[numbers[known]], np.diff(self.first)[numbers[known]]
+        place = np.repeat(known, n)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        owner, template = doc[place], self.template[at]
+        offset = place - first[owner] - self.position[at]
+        order = np.lexsort((offset, template, owner))
+        triples = np.stack([owner[order], template[order], offset[order]], axis=1)
+        new = np.ones(len(triples), bool)
+        new[1:] = (triples[1:] != triples[:-1]).any(axis=1)
+        begins = np.flatnonzero(new)
+        hits = np.diff(np.append(begins, len(triples)))
+        triples = triples[begins]
+        return triples[2 * hits >= self.entered[triples[:, 1]]]
+
+    def matches(self, numbers: np.ndarray, doc: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
+        """(document, label, share of the template's weight in place) for each confirmed template."""
+        best: dict[tuple[int, int], float] = {}
+        keyed: dict[tuple[int, int], bool] = {}
+        for d, t, offset in self.candidates(numbers, doc, first).tolist():
+            _, words, key = self.templates[t]
+            lo, hi = first[d], first[d + 1]
+            if (d, t) not in keyed:
+                keyed[d, t] = len(places(numbers[lo:hi], doc[lo:hi], key)) > 0
+            if not keyed[d, t]:
                 continue
-            keyed = keyed[np.isin(keyed, near_doc[np.isin(near, anchors)])]
-            for d in keyed.tolist():
-                lo, hi = np.searchsorted(near_doc, d), np.searchsorted(near_doc, d, "right")
-                at, own = known[lo:hi], near[lo:hi]
-                votes: list[np.ndarray] = []
-                gains: list[np.ndarray] = []
-                for place, word in enumerate(words.tolist()):
-                    here = at[own == word] - place
-                    votes.append(here)
-                    gains.append(np.full(len(here), self.idf[word]))
-                offsets, inverse = np.unique(np.concatenate(votes), return_inverse=True)
-                score = float(np.bincount(inverse, np.concatenate(gains)).max()) / weight if len(offsets) else 0.0
-                if score >= MIN_SCORE:
-                    found.append((d, label, min(score, 1.0)))
-        return found
+            a, b = max(0, -offset), min(len(words), hi - lo - offset)
+            own = words[a:b]
+            share = float(self.idf[own[numbers[lo + offset + a : lo + offset + b] == own]].sum()) / self.weights[t]
+            best[d, t] = max(best.get((d, t), 0.0), share)
+        return [(d, self.templates[t][0], min(share, 1.0)) for (d, t), share in best.items() if share >= MIN_SCORE]
 
     def scan(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
         """n_words, n_base, first, last (-1: none), and lists of base labels, labels and scores, by document."""
@@ -165,16 +175,16 @@ class Scanner:
                 base[x].add(label)
                 score[x] = max(score[x], 0.5)
         labels = [set(b) for b in base]
-        for d, label, share in self.matches(numbers, words.doc):
+        for d, label, share in self.matches(numbers, words.doc, words.first):
             labels[d].add(label)
             score[d] = max(score[d], share)
         return words.counts, n_base, first, last, base, labels, score
 
 
-def scan(df: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES) -> DataFrame:
+def scan(df: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, phrases: dict = PHRASES) -> DataFrame:
     """For each row of df (doc_id, text): word and phrase counts, labels of the base and of the method, a score.
 
-    The score is the largest share of a template that aligns, at least 0.5 where a base phrase stands.
+    The score is the largest share of a template that stands in place, at least 0.5 where a base phrase stands.
     """
     vocabulary = Vocabulary(templates, phrases)
     scanner = Scanner(templates, phrases, vocabulary, *document_frequencies(df, vocabulary))
