@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is measured on a bounded sample of rows (seconds a row, share of rows it rejects), and
+Every rule is measured on a bounded sample of all rows (seconds a row, share of rows it rejects), and
 the rules then run in falling order of rejection per cost; a rule sees only the rows that all rules
 before it let pass. The order changes the cost of a run and never its verdict, since a row is kept
 if no rule at all rejects it.
@@ -50,6 +50,23 @@ class Measure:
             self._made[name] = getattr(type(self), f"_{name}")(self)
         return self._made[name]
 
+    def take(self, stay: np.ndarray) -> Measure:
+        """The measure of the documents that stay; what is counted is carried over, and words are not looked for again."""
+        chunk, sizes = self.chunk, np.diff(self.chunk.offsets)
+        own = np.repeat(stay, sizes)
+        out = Measure(Chunk(chunk.first, chunk.data[own], np.concatenate([[0], np.cumsum(sizes[stay])]), chunk.null[stay]))
+        for name, made in self._made.items():
+            if name == "words":
+                word = stay[made.doc]
+                left_out = np.where(stay, 0, sizes)
+                shift = (np.cumsum(left_out) - left_out)[made.doc[word]]
+                out._made[name] = Words(made.start[word] - shift, made.end[word] - shift, (np.cumsum(stay) - 1)[made.doc[word]], np.concatenate([[0], np.cumsum(made.counts[stay])]))
+            elif name == "hashes":
+                out._made[name] = made[stay[self.words.doc]]
+            else:
+                out._made[name] = tuple(x[stay] for x in made) if isinstance(made, tuple) else made[stay]
+        return out
+
     def _words(self) -> Words:
         return spans(self.chunk, SPACE_SPLIT)
 
@@ -134,16 +151,21 @@ RULES = (
 )
 #: Rows that a cascade is measured on; it sets the order of rules alone.
 SAMPLE_ROWS = 512
+SAMPLE_SEED = 11
 SAMPLE_BYTES = 1 << 16
 
 
 def measured(texts: pa.Array, rules: Sequence[Rule]) -> list[tuple[str, int, int, float]]:
-    """(rule, rows, rows rejected, seconds) for each rule, taken alone."""
+    """(rule, rows, rows rejected, seconds) for each rule, taken alone; words are found once for all rules and are no rule's cost."""
+    shared = [Measure(chunk) for chunk in chunks(texts)]
+    for m in shared:
+        _ = m.hashes
+    everyone = [np.ones(len(m.chunk), bool) for m in shared]
     found = []
     for rule in rules:
-        began, rejected = time.perf_counter(), 0
-        for chunk in chunks(texts):
-            rejected += int(np.count_nonzero(rule.rejects(Measure(chunk))))
+        own = [m.take(all_) for m, all_ in zip(shared, everyone, strict=True)]
+        began = time.perf_counter()
+        rejected = sum(int(np.count_nonzero(rule.rejects(m))) for m in own)
         found.append((rule.name, len(texts), rejected, time.perf_counter() - began))
     return found
 
@@ -151,30 +173,38 @@ def measured(texts: pa.Array, rules: Sequence[Rule]) -> list[tuple[str, int, int
 def plan(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules in falling order of rejection per cost, as measured on the driver.
 
-    The sample is the first sample_rows texts of at most SAMPLE_BYTES each that a scan meets, so Spark reads only as many
-    partitions as it takes. Ties, and an empty table, keep the order in which the rules are given.
+    The sample is drawn from all rows alike: about sample_rows of them (at most twice as many), without texts over SAMPLE_BYTES.
+    Ties, and an empty table, keep the order in which the rules are given.
     """
-    rows = df.select(F.col(text).alias("text")).where(f"octet_length(text) <= {SAMPLE_BYTES}").limit(sample_rows).collect()
-    if not rows:
+    texts = df.select(F.col(text).alias("text"))
+    n = texts.count()
+    if not n:
         return [r.name for r in rules]
+    drawn = texts if n <= sample_rows else texts.sample(sample_rows / n, SAMPLE_SEED)
+    rows = drawn.where(f"text is null or octet_length(text) <= {SAMPLE_BYTES}").limit(2 * sample_rows).collect()
     worth = {name: rejected / max(seconds, 1e-9) for name, _, rejected, seconds in measured(pa.array([r.text for r in rows], pa.string()), rules)}
     return [r.name for r in sorted(rules, key=lambda r: -worth[r.name])]
 
 
-def cascade(texts: pa.Array, rules: Sequence[Rule]) -> np.ndarray:
-    """Which texts every rule lets pass. A rule reads only the texts that are still in."""
-    alive = np.arange(len(texts))
+def survivors(measure: Measure, rules: Sequence[Rule]) -> np.ndarray:
+    """Which documents of a chunk every rule lets pass. A rule reads only the documents that are still in."""
+    alive = np.arange(len(measure.chunk))
+    kept = np.zeros(len(alive), bool)
     for rule in rules:
         if not len(alive):
             break
-        rest = texts if len(alive) == len(texts) else texts.take(pa.array(alive))
-        rejected = [rule.rejects(Measure(chunk)) for chunk in chunks(rest)]
-        alive = alive[~np.concatenate(rejected)]
-    kept = np.zeros(len(texts), bool)
+        stay = ~rule.rejects(measure)
+        if not stay.all():
+            alive, measure = alive[stay], measure.take(stay)
     kept[alive] = True
     return kept
 
 
+def cascade(texts: pa.Array, rules: Sequence[Rule]) -> np.ndarray:
+    """Which texts every rule lets pass."""
+    return np.concatenate([np.zeros(0, bool), *[survivors(Measure(chunk), rules) for chunk in chunks(texts)]])
+
+
 def ordered(rules: Sequence[Rule], names: Sequence[str]) -> list[Rule]:
     by_name = {r.name: r for r in rules}
     return [by_name[n] for n in names]
@@ -195,9 +225,11 @@ def keep(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sampl
 def judge(df: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row of df (doc_id, text).
 
-    The counts are asked for whole, so the cascade here saves only the rules that need others.
+    The counts are asked of every row, so they are made first, and with them base_failed. The other rules run as a cascade
+    on the rows that the base lets pass, in their measured order.
     """
-    order = ordered(rules, plan(df, rules, "text", sample_rows))
+    names = {r.name for r in base}
+    order = ordered(rules, [n for n in plan(df, rules, "text", sample_rows) if n not in names])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean"
 
@@ -206,14 +238,12 @@ def judge(df: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = B
             ids = column(batch, "doc_id")
             for chunk in chunks(column(batch, "text")):
                 m = Measure(chunk)
+                made = [pa.array(getattr(m, c), pa.int64()) for c in counts]
                 failed = np.zeros(len(chunk), bool)
                 for rule in base:
                     failed |= rule.rejects(m)
                 kept = ~failed
-                for rule in order:
-                    if kept.any():
-                        kept &= ~rule.rejects(m)
-                made = [pa.array(getattr(m, c), pa.int64()) for c in counts]
+                kept[kept] = survivors(m.take(kept), order)
                 yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, len(chunk)), *made, pa.array(failed), pa.array(kept)], ["doc_id", *counts, "base_failed", "kept"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(on_batches, schema)
