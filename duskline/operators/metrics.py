@@ -5,10 +5,13 @@ Points have the columns timestamp (epoch milliseconds), component, operation, na
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import scratch_folder
 
 SERIES = ("component", "operation", "name")
 LATENCY_MS = 100.0
@@ -64,10 +67,68 @@ def alerts(points: DataFrame, thresholds: dict[str, float] | None = None) -> Dat
     return over.withColumn("severity", F.least(F.lit(1.0), (F.col("value") / F.col("threshold") - 1) / 2))
 
 
-def percentiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Nearest-rank percentiles p<share*100> of each group; 0 where a group has no values."""
-    made = [F.coalesce(F.expr(f"percentile_disc({s}) within group (order by `{value}`)"), F.lit(0.0)).alias("p" + f"{s * 100:g}".replace(".", "_")) for s in shares]
-    return df.groupBy(*by).agg(*made) if by else df.agg(*made)
+#: Values of a group that one task may hold; larger groups are cut down by histograms first.
+EXACT_VALUES, BINS = 100_000, 4096
+
+
+def percentiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = (), most: int = EXACT_VALUES) -> DataFrame:
+    """Nearest-rank percentiles p<share*100> of each group; 0 where a group has no values.
+
+    Groups of at most `most` values (and those with infinite values or NaN) are settled in one aggregation. For others, the range that holds
+    the wanted rank is cut into BINS bins, counted, and cut again, until it holds few values or one: no task holds a large group.
+    """
+    names = ["p" + f"{s * 100:g}".replace(".", "_") for s in shares]
+    v = F.col(f"`{value}`")
+    sizes = df.groupBy(*by).agg(F.count(v).alias("__n"), F.min(v.cast("double")).alias("__lo"), F.max(v.cast("double")).alias("__hi"))
+    finite = F.col("__hi") - F.col("__lo") < float("inf")  # neither for infinite values nor for NaN
+    large = sizes.where((F.col("__n") > most) & finite)
+    made = [F.coalesce(F.expr(f"percentile_disc({s}) within group (order by `{value}`)"), F.lit(0.0)).alias(n) for s, n in zip(shares, names, strict=True)]
+    if large.isEmpty():
+        return df.groupBy(*by).agg(*made) if by else df.agg(*made)
+    keys = [f"__k{i}" for i in range(len(by))]
+    values = df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys, strict=True)], v.alias("__v")).where("__v is not null")
+    state = large.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys, strict=True)], "*").drop(*by)
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(s)).alias("share")) for s, n in zip(shares, names, strict=True)])
+    state = state.withColumn("__w", F.explode(wanted)).select(*keys, F.col("__w.name").alias("__name"), F.greatest(F.lit(1), F.ceil(F.col("__w.share") * F.col("__n"))).alias("__rank"), "__lo", "__hi", "__n")
+
+    def within(state: DataFrame) -> DataFrame:
+        named = state.select(*[F.col(k).alias(f"{k}s") for k in keys], "__name", "__rank", "__lo", "__hi", "__n")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+        inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+        return values.join(F.broadcast(named) if not keys else named, same & inside).drop(*[f"{k}s" for k in keys])
+
+    while not state.where((F.col("__n") > most) & (F.col("__lo") < F.col("__hi"))).isEmpty():
+        part = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(BINS))
+        binned = within(state).withColumn("__bin", F.when(F.col("__lo") < F.col("__hi"), part).otherwise(F.lit(0)))
+        counted = binned.groupBy(*keys, "__name", "__rank", "__bin").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").cast("double").alias("__lo"), F.max("__v").cast("double").alias("__hi"))
+        upto = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy("__bin"))
+        hit = counted.withColumn("__upto", upto).where("__upto >= __rank and __upto - __c < __rank")
+        state = hit.select(*keys, "__name", (F.col("__rank") - (F.col("__upto") - F.col("__c"))).alias("__rank"), "__lo", "__hi", F.col("__c").alias("__n"))
+        state = _kept(state)
+    one = state.where("__lo = __hi").select(*keys, "__name", F.col("__lo").alias("__p"))
+    few = within(state.where("__lo < __hi")).groupBy(*keys, "__name", "__rank").agg(F.element_at(F.array_sort(F.collect_list("__v")), F.col("__rank").cast("int")).cast("double").alias("__p"))
+    found = one.union(few.select(*keys, "__name", "__p")).groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("__p"))).alias(n) for n in names])
+    found = found.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *names)
+    if not by:
+        return found
+    rest = df.join(large.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys, strict=True)]), _same(by, keys), "left_anti")
+    return found.unionByName(rest.groupBy(*by).agg(*made))
+
+
+def _kept(state: DataFrame) -> DataFrame:
+    """A small table written to the shared folder and read again, so that rounds do not build on each other."""
+    path = f"{scratch_folder(state.sparkSession)}/percentiles-{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
+def _same(names: tuple[str, ...], others: list[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(names, others, strict=True):
+        out = out & F.col(f"`{a}`").eqNullSafe(F.col(b))
+    return out
 
 
 def deviation(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from duskline.functions import coerce, scalars, text
@@ -169,6 +170,19 @@ def test_metrics(spark):
     assert metrics.within(p, 5000, 7000).count() == 3 and metrics.retained(p, 8 * scalars.DAY_MS, 7).count() == 0
 
 
+def test_percentiles_of_large_groups(spark):
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 100)) for _ in range(4000)] + [("b", float(rng.randint(0, 3))) for _ in range(3000)] + [(None, rng.random()) for _ in range(900)] + [("few", 1.0), ("few", 5.0), ("none", None), ("odd", float("inf"))] + [("odd", float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = (0.01, 0.5, 0.95, 1.0)
+    whole = metrics.percentiles(df, "v", shares, ("g",), most=10**9)
+    cut = metrics.percentiles(df, "v", shares, ("g",), most=50)
+    key = lambda r: (r[0] is not None, r[0])
+    assert sorted(map(tuple, cut.collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+    all_ = df.where("g <> 'odd'")
+    assert metrics.percentiles(all_, "v", shares, most=50).collect() == metrics.percentiles(all_, "v", shares, most=10**9).collect()
+
+
 def test_regressions(spark):
     make = lambda *v: spark.createDataFrame([("b", m, x) for m, x in v], "bench string, metric string, value double")
     base = make(("latency", 100.0), ("throughput", 100.0), ("other", 100.0), ("memory_used", 0.0), ("gone", 1.0))
