@@ -1,19 +1,20 @@
 """Exact top-k search by distributed histogram selection.
 
-All scores of a query set against all rows are counted, block by block, into histograms: for each query the
-interval of scores that must hold its k-th best is cut into BINS bins, counts are summed over all candidate
-blocks, and the bin that holds the k-th best is the next interval, until it is one score wide. A last pass
-returns only scores at or above that value, ties at it by the smaller vec_id. A block reports bins from its
-best score down to where it alone has k scores: what lies below cannot hold the k-th best.
-
-Blocks: rows are dealt by a hash of vec_id into blocks of about a bounded number of rows; a block of queries
-meets a block of candidates as two matrices in one task, which recomputes the product in each round. Nothing is
-broadcast and no pair is written out but those that are returned.
-
-A component x counts as floor(64 * x). Scores are exact while they fit a long. Vectors that are null, or hold a
-null or a component that is not finite, and rows without a vec_id, take no part. Only vectors of equal length
-are compared. If a vec_id repeats, its smallest vector is the query, every row is a candidate for others, and none for
-itself. Fewer than k candidates: all are returned.
+All scores of a query set against all rows are counted into histograms: for each query the interval of scores that must hold
+its k-th best is cut into at most BINS bins, counts are summed over all rows, and the bin that holds the k-th best is the next interval,
+until it is one score wide. A last pass returns only scores at or above that value, ties at it by the smaller vec_id. A task
+reports bins from its best score down to where it alone has k scores: what lies below cannot hold the k-th best.
+
+Candidates stay where they are: no round shuffles a vector. Queries are dealt by a hash of vec_id into blocks of at most about QUERY_ROWS rows
+and QUERY_BYTES bytes; one block at a time is sent to all tasks (its size is what a broadcast holds, however large the table) and the
+tasks score their rows against it batch by batch, with one histogram for a task. What is shuffled in a round is the bins: queries times
+tasks times at most k, and so not more as tables grow on the same cluster but by the queries. One row for each query of a block
+comes back to the driver. Scores are computed again in each round instead of being kept.
+
+A component x counts as floor(64 * x). Vectors that are null, or hold a null or a component that is not finite, and rows without a
+vec_id, take no part. If scores could exceed a long (largest component squared times dimension), the search raises ValueError and
+returns nothing wrong. Only vectors of equal length are compared. If a vec_id repeats, its smallest vector is the query, every row is a
+candidate for others, and none for itself. Fewer than k candidates: all are returned.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, settle, shuffle_partitions
+from .common import column, settle, settled
 
-BINS = 128
-QUERY_BLOCK = 512
+BINS = 1024
+#: A block of queries, which is broadcast.
+QUERY_ROWS, QUERY_BYTES = 4096, 32 << 20
+#: Scores of one matrix product.
+PRODUCT = 2_000_000
 SCALE = 64
 
 
@@ -45,7 +50,10 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
             good = bad[offsets[1:]] == bad[offsets[:-1]]
             with np.errstate(invalid="ignore"):
-                ints = np.floor(SCALE * np.where(np.isfinite(flat), flat, 0)).astype(np.int64)
+                scaled = np.floor(SCALE * np.where(np.isfinite(flat), flat, 0))
+            if len(scaled) and np.abs(scaled).max() >= 2.0**62:
+                raise ValueError("a component is too large for scores that fit a long")
+            ints = scaled.astype(np.int64)
             own = np.flatnonzero(good)
             rows = [ints[offsets[i] : offsets[i + 1]].tobytes() for i in own.tolist()]
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)).take(pa.array(own)), pa.array(np.diff(offsets)[own], pa.int32()), pa.array(rows, pa.binary())], ["vec_id", "dim", "ints"])
@@ -53,20 +61,6 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(on_batches, "vec_id long, dim int, ints binary")
 
 
-def _blocks(df: DataFrame, block: Column, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each dim and block: ids, ints and the extra long columns, each as bytes."""
-    names = ("vec_id", *extra)
-
-    def on_table(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table["vec_id"]), kind="stable")
-        longs = [np.asarray(table[n])[order].astype(np.int64).tobytes() for n in names]
-        ints = b"".join(table["ints"].take(pa.array(order)).to_pylist())
-        return pa.table([table["dim"].slice(0, 1), table["block"].slice(0, 1), *[pa.array([x], pa.binary()) for x in longs], pa.array([ints], pa.binary())], names=["dim", "block", *names, "ints"])
-
-    schema = "dim int, block int, " + ", ".join(f"{n} binary" for n in names) + ", ints binary"
-    return df.select("dim", block.cast("int").alias("block"), *names, "ints").groupBy("dim", "block").applyInArrow(on_table, schema)
-
-
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of longs."""
     dim = queries.shape[1]
@@ -76,116 +70,141 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return queries @ candidates.T
 
 
-def _meet(candidates: DataFrame, queries: DataFrame, n_blocks: int, extra: tuple[str, ...]) -> DataFrame:
-    """Every query block beside every candidate block of its dim."""
-    q = queries.select("dim", F.col("block").alias("q_block"), F.col("vec_id").alias("query_id"), *extra, F.col("ints").alias("q_ints"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    return q.join(candidates, ["dim", "block"]).select("dim", "query_id", *extra, "q_ints", "vec_id", "ints")
-
-
-def _longs(x) -> np.ndarray:
-    return np.frombuffer(x.as_py(), np.int64)
-
-
-def _products(batches: Iterator[pa.RecordBatch], extra: int):
-    """Query ids, their extra columns, candidate ids and the scores between them, some queries at a time."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = [c[i] for c in batch.columns]
-            dim = row[0].as_py()
-            query, own = _longs(row[1]), [_longs(x) for x in row[2 : 2 + extra]]
-            q, ids = _longs(row[2 + extra]).reshape(len(query), dim), _longs(row[3 + extra])
-            c = _longs(row[4 + extra]).reshape(len(ids), dim)
-            step = max(1, 2_000_000 // max(1, len(ids)))
-            for at in range(0, len(query), step):
-                part = slice(at, at + step)
-                yield query[part], [x[part] for x in own], ids, scores(q[part], c)
-
-
-def _state(queries: DataFrame, widest: int) -> DataFrame:
-    """Each query with an interval [lo, hi) that holds all its scores."""
+class Block:
+    """Queries of one block by their dimension: ids in rising order, vectors, and the rows of both in the block."""
+
+    def __init__(self, rows: list):
+        self.ids = np.array([r.vec_id for r in rows], np.int64)
+        self.dims: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        dims = np.array([r.dim for r in rows], np.int64)
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            own = own[np.argsort(self.ids[own], kind="stable")]
+            vectors = np.frombuffer(b"".join(bytes(rows[i].ints) for i in own.tolist()), np.int64).reshape(len(own), dim)
+            self.dims[dim] = self.ids[own], vectors, own
+
+    def reach(self, widest: int) -> np.ndarray:
+        """A bound of the scores of each query, without their sign."""
+        out = np.zeros(len(self.ids), np.int64)
+        for _, vectors, own in self.dims.values():
+            out[own] = np.abs(vectors).sum(axis=1) * widest + 1
+        return out
+
+    def products(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of the block, candidate ids, and the scores between them; the score of a query with its own id is the least long."""
+        ids, dims = np.asarray(column(batch, "vec_id")), np.asarray(column(batch, "dim"))
+        for dim in np.unique(dims).tolist():
+            if dim not in self.dims:
+                continue
+            asked, vectors, own = self.dims[dim]
+            take = np.flatnonzero(dims == dim)
+            found = np.frombuffer(b"".join(column(batch, "ints").take(pa.array(take)).to_pylist()), np.int64).reshape(len(take), dim)
+            some = max(1, PRODUCT // len(asked))
+            for at in range(0, len(take), some):
+                part = ids[take[at : at + some]]
+                made = scores(vectors, found[at : at + some])
+                place = np.minimum(np.searchsorted(asked, part), len(asked) - 1)
+                self_ = np.flatnonzero(asked[place] == part)
+                made[place[self_], self_] = np.iinfo(np.int64).min
+                yield own, part, made
+
+
+def _histograms(rows: DataFrame, block: Broadcast, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, k: int) -> DataFrame:
+    """query, bin, n: counts of scores in the bins of each query's interval, from the best down."""
+    todo = hi - lo > 1
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(lo), BINS), np.int64)
         for batch in batches:
-            reach = [int(np.abs(_longs(x)).sum()) * widest + 1 for x in column(batch, "ints")]
-            reach = np.minimum(np.array(reach, object), 1 << 61).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(-reach), pa.array(reach), pa.array(np.zeros(batch.num_rows, np.int64))], [*batch.schema.names, "lo", "hi", "above"])
-
-    return queries.mapInArrow(on_batches, "vec_id long, dim int, ints binary, lo long, hi long, above long")
+            for own, _, score in block.value.products(batch):
+                low, high = lo[own][:, None], np.where(todo[own], hi[own], lo[own])[:, None]
+                q, c = np.nonzero((score >= low) & (score < high))
+                row = own[q]
+                flat = row * BINS + ((score[q, c] - lo[row]) >> shift[row])
+                counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
+        over = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts  # scores of this task in better bins of the interval
+        q, b = np.nonzero((counts > 0) & (over < k))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[q, b])], ["query", "bin", "n"])
+
+    return rows.mapInArrow(on_batches, "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+
+
+def _kth_values(rows: DataFrame, block: Block, sent: Broadcast, widest: int, k: int) -> np.ndarray:
+    """For each query of a block the k-th best score, or a bound of all its scores if it has fewer candidates."""
+    reach = block.reach(widest)
+    lo, hi, above = -reach, reach, np.zeros(len(reach), np.int64)
+    best = Window.partitionBy("query").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    while (hi - lo > 1).any():
+        shift = np.array([max(0, (int(w) - 1).bit_length() - (BINS.bit_length() - 1)) for w in (hi - lo).tolist()], np.int64)
+        found = _histograms(rows, sent, lo, hi, shift, k).withColumn("upto", F.sum("n").over(best))
+        need = rows.sparkSession.createDataFrame([(i, int(k - a)) for i, a in enumerate(above.tolist())], "query int, need long")
+        hit = found.join(need, "query").where("upto >= need").groupBy("query").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("better"))).alias("hit"))
+        todo = hi - lo > 1
+        new_lo, new_hi = lo.copy(), np.where(todo, lo + 1, hi)  # without a hit: fewer than k candidates, all of them count
+        for r in hit.collect():
+            i = r["query"]
+            new_lo[i] = lo[i] + (r.hit.bin << int(shift[i]))
+            new_hi[i] = min(int(hi[i]), int(new_lo[i]) + (1 << int(shift[i])))
+            above[i] += r.hit.better
+        lo, hi = new_lo, new_hi
+    return lo
+
+
+def _best(rows: DataFrame, block: Broadcast, least: np.ndarray, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows for each query of a block."""
 
+    def at_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, ids, score in block.value.products(batch):
+                order = np.argsort(ids, kind="stable")
+                ids, score, bar = ids[order], score[:, order], least[own][:, None]
+                ok = score >= bar
+                tie = score == bar
+                ok &= ~tie | (np.cumsum(tie, axis=1) <= k)  # ids ascend: of ties the first k are enough
+                q, c = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(block.value.ids[own[q]]), pa.array(ids[c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
 
-def _histograms(met: DataFrame, k: int) -> DataFrame:
-    """query_id, bin, n: counts of scores in the bins of each query's interval, from the best down."""
-
-    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query, (lo, hi), ids, score in _products(batches, 2):
-            width = -((lo - hi) // BINS)  # rounded up
-            at = np.where((score >= lo[:, None]) & (score < hi[:, None]) & (ids[None] != query[:, None]), (score - lo[:, None]) // width[:, None], BINS)
-            flat = np.bincount((np.arange(len(query))[:, None] * (BINS + 1) + at).reshape(-1), minlength=len(query) * (BINS + 1)).reshape(len(query), BINS + 1)[:, :BINS]
-            over = np.cumsum(flat[:, ::-1], axis=1)[:, ::-1] - flat  # scores of this block in better bins of the interval
-            q, b = np.nonzero((flat > 0) & (over < k))
-            yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(b, pa.int32()), pa.array(flat[q, b].astype(np.int64))], ["query_id", "bin", "n"])
-
-    return met.mapInArrow(on_batches, "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-
-
-def _refined(state: DataFrame, histograms: DataFrame, k: int) -> DataFrame:
-    """State with each interval cut down to the bin of the k-th best score; a query with fewer candidates keeps all from its lowest score."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = histograms.withColumn("upto", F.sum("n").over(best)).join(state.select(F.col("vec_id").alias("query_id"), "above"), "query_id")
-    found = reached.groupBy("query_id").agg(F.max(F.when(F.col("above") + F.col("upto") >= k, F.struct("bin", (F.col("above") + F.col("upto") - F.col("n")).alias("above")))).alias("hit"), F.min("bin").alias("lowest")).select("query_id", F.col("hit.bin").alias("bin"), F.col("hit.above").alias("new_above"), "lowest")
-    width = F.expr("-((lo - hi) div 128) + int((hi - lo) % 128 > 0)".replace("128", str(BINS)))
-    joined = state.join(found, state["vec_id"] == found["query_id"], "left").withColumn("width", width)
-    few = F.col("bin").isNull()
-    lo = F.when(few, F.col("lo")).otherwise(F.col("lo") + F.col("bin") * F.col("width"))
-    hi = F.when(few, F.col("lo") + 1).otherwise(F.least("hi", F.col("lo") + (F.col("bin") + 1) * F.col("width")))
-    return joined.select("vec_id", "dim", "ints", lo.alias("lo"), hi.alias("hi"), F.coalesce("new_above", "above").alias("above"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(at_least, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of df (vec_id, embedding) for each row of queries, its own left out."""
+    spark = df.sparkSession
     rows = settle(quantised(df))
-    n = rows.count()
-    widest = _widest(rows)
-    n_blocks = max(1, min(n // 1024, 2 * shuffle_partitions(df.sparkSession)), n // 16384)
-    deal = F.expr(f"pmod(xxhash64(vec_id), {n_blocks})")
-    candidates = settle(_blocks(rows, deal))
+    widest, dim = _widest(rows)
+    if dim * widest * widest >= 1 << 62:
+        raise ValueError("scores would not fit a long")
     asked = quantised(queries).groupBy("vec_id", "dim").agg(F.min("ints").alias("ints")).groupBy("vec_id").agg(F.min(F.struct("dim", "ints")).alias("v")).select("vec_id", "v.dim", "v.ints")
-    state = settle(_state(asked, widest))
-    n_queries = state.count()
-    q_deal = F.expr(f"pmod(xxhash64(vec_id), {max(1, n_queries // QUERY_BLOCK)})")
-    while True:
-        wide = state.where("hi - lo > 1")
-        if wide.isEmpty():
-            break
-        met = _meet(candidates, _blocks(wide, q_deal, ("lo", "hi")), n_blocks, ("lo", "hi"))
-        narrowed = _refined(wide, _histograms(met, k), k)
-        state = settle(narrowed.union(state.where("hi - lo <= 1")))
-    met = _meet(candidates, _blocks(state, q_deal, ("lo",)), n_blocks, ("lo",))
-
-    def at_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query, (lo,), ids, score in _products(batches, 1):
-            ok = (score >= lo[:, None]) & (ids[None] != query[:, None])
-            tie = ok & (score == lo[:, None])
-            ok &= ~tie | (np.cumsum(tie, axis=1) <= k)  # ids of a block ascend: its k first ties are enough
-            q, c = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(ids[c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(at_least, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _widest(rows: DataFrame) -> int:
-    """The largest component of all vectors, without its sign."""
+    asked = settle(asked)
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ints")), F.lit(0))).first()
+    blocks = max(1, -(-n // QUERY_ROWS), -(-size // QUERY_BYTES))
+    folders = []
+    for b in range(blocks):
+        block = Block(asked.where(F.expr(f"pmod(xxhash64(vec_id), {blocks}) = {b}")).collect())
+        if not len(block.ids):
+            continue
+        sent = spark.sparkContext.broadcast(block)
+        found = settle(_best(rows, sent, _kth_values(rows, block, sent, widest, k), k))
+        sent.unpersist()
+        folders.append(settled()[-1])
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _widest(rows: DataFrame) -> tuple[int, int]:
+    """The largest component of all vectors, without its sign, and the largest dimension."""
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 0
         for batch in batches:
-            for x in batch.column(0):
-                most = max(most, int(np.abs(_longs(x)).max(initial=0)))
+            flat = np.frombuffer(b"".join(column(batch, "ints").to_pylist()), np.int64)
+            most = max(most, int(np.abs(flat).max(initial=0)))
         yield pa.RecordBatch.from_arrays([pa.array([most], pa.int64())], ["most"])
 
-    return rows.select("ints").mapInArrow(on_batches, "most long").agg(F.max("most")).first()[0] or 0
+    dim = rows.agg(F.max("dim")).first()[0] or 0
+    return rows.select("ints").mapInArrow(on_batches, "most long").agg(F.max("most")).first()[0] or 0, dim
 
 
 #: The same as searching the table embeddings with the rows whose vec_id is divisible by 20, for DuckDB.
