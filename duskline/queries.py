@@ -144,30 +144,32 @@ def filter_time(spark, d):
 # Sorting and pagination.
 
 
-def _numbered(df):
+def _numbered(spark, df):
     """A sorted frame with each row's place in the whole order: its place in its partition after the rows of those before.
 
-    The counts of the partitions (one number each) come to the driver; no task holds more than its range.
+    The sorted rows are written with their partition and place in it (another run may cut ranges elsewhere). The counts of the partitions
+    (one number each) come to the driver; no task holds more than its range.
     """
-    kept = df.withColumn("__at", F.monotonically_increasing_id())
-    counts = {r.p: r.n for r in kept.groupBy(F.shiftright("__at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, base = 0, []
-    for p in sorted(counts):
-        base += [F.lit(p), F.lit(before)]
-        before += counts[p]
-    bases = F.create_map(*base) if base else F.create_map(F.lit(0), F.lit(0))
-    return kept.withColumn("place", (bases[F.shiftright("__at", 33)] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__at")
+    path, mark = f"{scratch_folder(spark)}/sorted-{uuid.uuid4().hex}", F.monotonically_increasing_id()
+    df.select("*", F.shiftright(mark, 33).alias("__part"), mark.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).write.parquet(path)
+    kept = spark.read.parquet(path)
+    before, bases = 0, [(-1, 0)]
+    for r in kept.groupBy("__part").count().orderBy("__part").collect():
+        bases.append((r["__part"], before))
+        before += r["count"]
+    base = F.create_map(*[F.lit(x).cast("long") for pair in bases for x in pair])[F.col("__part")]
+    return kept.withColumn("place", base + F.col("__at") + 1).drop("__part", "__at")
 
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as place from orders")
 def sort_asc(spark, d):
     """The whole table in order; `place` shows it."""
-    return _numbered(relational.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", True)]))
+    return _numbered(spark, relational.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", True)]))
 
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders")
 def sort_desc(spark, d):
-    return _numbered(relational.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", False), ("o_orderkey", True)]))
+    return _numbered(spark, relational.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", False), ("o_orderkey", True)]))
 
 
 @query("select o_orderkey from orders order by o_orderkey limit 20 offset 35")
