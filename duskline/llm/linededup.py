@@ -9,7 +9,7 @@ pages, is boilerplate too. On few pages a low share is chance, so that number is
 A line counts once for a page and is compared without the white space around it; blank lines are neither
 counted nor dropped. As each page adds its lines once, a host has at most (lines a page) / (the lower share) boilerplate
 lines, however many pages it has; so one short array for each host goes to its pages. It is broadcast if the
-counted hashes of all hosts are few, else joined (Spark splits a skewed host's pages).
+counted hashes of all hosts are few, else joined by host and a part of its pages, so that no host lands in one task.
 
 Null hosts belong to no site and null texts have no lines; such rows stay as they are. Repeated rows are pages
 of their own. Lines are compared by 64-bit hashes within a host.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, release, settle, settled, shuffle_partitions
 
 RATIO = 0.2
 LEAST_PAGES = 3
@@ -48,10 +48,10 @@ def _hash(line: Column) -> Column:
 
 def boilerplate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, common: tuple[float, int] | None = None) -> DataFrame:
     """host, flagged: hashes of the boilerplate lines of the pages df (host, lines)."""
-    pages = df.where("host is not null and lines is not null")
     distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _hash))
-    counted = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").count().where(F.col("count") >= least)
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    pages = settle(df.where("host is not null").select("host", distinct.alias("hashes")))  # pages are taken apart once for both counts
+    counted = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").count().where(F.col("count") >= least)
+    totals = pages.where("hashes is not null").groupBy("host").agg(F.count("*").alias("pages"))
     bar = F.col("count") > ratio * F.col("pages")
     if common:
         bar |= (F.col("count") > common[0] * F.col("pages")) & (F.col("count") >= common[1])
@@ -61,11 +61,16 @@ def boilerplate(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, c
 
 def drop_lines(df: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, common: tuple[float, int] | None = None) -> DataFrame:
     """df (host, lines, ...) with a column `kept`: the lines that are no boilerplate of the host."""
+    before = settled()
     flagged = settle(boilerplate(df, ratio, least, common))
+    release(df.sparkSession, [x for x in settled()[:-1] if x not in before])
     held = flagged.agg(F.coalesce(F.sum(F.size("flagged")), F.lit(0))).first()[0]
     if held <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
-    joined = df.join(flagged, "host", "left")
+        joined = df.join(F.broadcast(flagged), "host", "left")
+    else:  # pages are dealt by a hash of their lines too, and a host's flagged lines go to each of its parts
+        parts = shuffle_partitions(df.sparkSession)
+        dealt = df.withColumn("__part", F.when(F.col("host").isNotNull(), F.pmod(F.xxhash64("lines"), F.lit(parts))))
+        joined = dealt.join(flagged.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["host", "__part"], "left").drop("__part")
     kept = F.when(F.col("flagged").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("flagged", _hash(x))))
     return joined.withColumn("kept", kept).drop("flagged")
 
