@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BROADCAST_ROWS, settle
 
 TOLERANCE = 0.001
 SHIFTS = (51, 43, 35, 27, 19, 11, 3, 0)
@@ -126,10 +126,17 @@ def by_bytes(df: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "te
     aim = max(INTERVAL_ROWS, n >> bits)
     # An interval with a large group in it is cut further by the hash of the id.
     heavy = rows.groupBy("interval").count().where(F.col("count") > 2 * aim).select("interval", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / aim))).cast("int").alias("more"))
-    rows = rows.join(F.broadcast(heavy), "interval", "left").withColumn("part", F.coalesce(F.expr("shiftright(k2, 63 - more)"), F.lit(0)).cast("int"))
+    heavy = F.broadcast(heavy)  # intervals of over twice the mean, so at most half of the 2**16
+    rows = rows.join(heavy, "interval", "left").withColumn("part", F.coalesce(F.expr("shiftright(k2, 63 - more)"), F.lit(0)).cast("int"))
+    # Rows that repeat id and text are one row with a count until they have their slots: no task sorts a group of copies.
+    rows = rows.groupBy("shard", "interval", "part", "k1", "k2", "id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     place = Window.partitionBy("shard").orderBy("interval", "part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "interval", "part").count().withColumn("base", F.coalesce(F.sum("count").over(place), F.lit(0))).drop("count")
+    counts = rows.groupBy("shard", "interval", "part").agg(F.sum("copies").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(place), F.lit(0))).drop("n")
     # Intervals times parts: at most 2**17 of the first and the rows over `aim` of the second, so about 2**18 rows.
-    inside = Window.partitionBy("shard", "interval", "part").orderBy("k1", "k2", "id")
-    numbered = rows.withColumn("row", F.row_number().over(inside)).join(F.broadcast(counts), ["shard", "interval", "part"])
-    return numbered.select("id", "size", "text_crc32", "shard", (F.col("base") + F.col("row") - 1).cast("long").alias("slot"))
+    counts = settle(counts)
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
+    inside = Window.partitionBy("shard", "interval", "part").orderBy("k1", "k2", "id").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("row", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(counts, ["shard", "interval", "part"])
+    copy = numbered.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    return copy.select("id", "size", "text_crc32", "shard", (F.col("base") + F.col("row") + F.col("copy")).cast("long").alias("slot"))
