@@ -197,6 +197,15 @@ def drop_column(df: DataFrame, column: str) -> DataFrame:
     return df.drop(name_of(df, column))
 
 
+def merge(df: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of df with those of changes put in: a change replaces the rows of its key, others are added. Null keys are keys like others."""
+    asked = changes.select(*[quoted(k).alias(f"__m{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & quoted(k).eqNullSafe(F.col(f"__m{i}"))
+    return df.join(asked, same, "left_anti").unionByName(changes)
+
+
 def key_range_overlaps(df: DataFrame, low: str, high: str, other_low: object, other_high: object) -> DataFrame:
     """Rows whose key interval meets the given one: files or blocks that a range scan has to read."""
     return df.where(scalars.ranges_overlap(quoted(low), quoted(high), F.lit(other_low), F.lit(other_high)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..session import scratch_folder
 from .relational import name_of, quoted
 
 RELEVANCE = "__relevance"
@@ -49,26 +52,33 @@ def postings(df: DataFrame, row_id: str, column: str) -> DataFrame:
 def tfidf_search(df: DataFrame, row_id: str, column: str, query: str, limit: int | None = None) -> DataFrame:
     """row id and relevance of rows that hold a token of the query; best first.
 
-    idf = ln(N / df), N: rows with a token. Query tokens that repeat count as often; rows that score 0 stay. One pass looks for the
-    query's tokens and counts rows, a second takes apart only the texts that hold one; nothing is shuffled by token.
+    idf = ln(N / df), N: rows with a token. Query tokens that repeat count as often; rows that score 0 stay. Texts are read once: of those
+    that hold a token of the query, their number of tokens and of each query token is written to the shared folder (a few numbers
+    a row), and idf, scores and order come from there.
     """
-    asked = df.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("t")).first().t
+    spark = df.sparkSession
+    asked = spark.range(1).select(text.tokens(F.lit(query)).alias("t")).first().t
     wanted, c = sorted(set(asked)), quoted(column).cast("string")
     if not wanted:
         return df.select(quoted(row_id).alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
-    seen = df.select(text.presence(c, wanted).alias("p"))
-    held = seen.agg(F.count_if("p.any").alias("rows"), *[F.count_if(f"p.k{i}").alias(f"k{i}") for i in range(len(wanted))]).first()
-
-    def score(own: Column) -> Column:
-        total = F.lit(0.0)
-        for i, w in enumerate(wanted):
-            if held[f"k{i}"]:
-                times = F.size(own) - F.size(F.array_remove(own, w))
-                total = total + times / F.size(own) * F.log(F.lit(held["rows"] / held[f"k{i}"])) * F.lit(asked.count(w))
-        return total
-
-    rows = df.where(text.has_any(c, wanted))
-    return _ranked(rows.select(quoted(row_id).alias(row_id), text.once(text.tokens(c), score).alias(RELEVANCE)), F.col(RELEVANCE).desc(), limit)
+
+    def counts(own: Column) -> Column:
+        return F.struct(F.size(own).alias("n"), *[(F.size(own) - F.size(F.array_remove(own, w))).alias(f"k{i}") for i, w in enumerate(wanted)])
+
+    any_of = F.lit(False)
+    for i in range(len(wanted)):
+        any_of = any_of | F.col(f"p.k{i}")
+    seen, path = Observation(), f"{scratch_folder(spark)}/hits-{uuid.uuid4().hex}"
+    rows = df.select(quoted(row_id).alias("row_id"), c.alias("text"), text.presence(c, wanted).alias("p")).observe(seen, F.count_if("p.any").alias("rows"))
+    hits = rows.where(any_of).select("row_id", text.once(text.tokens(F.col("text")), counts).alias("c")).select("row_id", "c.*")
+    hits.write.parquet(path)
+    hits = spark.read.schema(hits.schema).parquet(path)
+    held = hits.agg(*[F.count_if(F.col(f"k{i}") > 0).alias(f"k{i}") for i in range(len(wanted))]).first()
+    score = F.lit(0.0)
+    for i, w in enumerate(wanted):
+        if held[f"k{i}"]:
+            score = score + F.col(f"k{i}") / F.col("n") * F.log(F.lit(seen.get["rows"] / held[f"k{i}"])) * F.lit(asked.count(w))
+    return _ranked(hits.select(F.col("row_id").alias(row_id), score.alias(RELEVANCE)), F.col(RELEVANCE).desc(), limit)
 
 
 def indexed_search(index: DataFrame, query: str, n_rows: int, row_id: str = "row_id", limit: int | None = None) -> DataFrame:

@@ -255,6 +255,15 @@ def json_put_remove(spark, d):
     return both.select("event_id", documents.field("event_type").alias("kind"), documents.field("user_id", "long").alias("user_id"))
 
 
+@query("select o_orderkey, case when o_orderstatus = 'P' then 'MERGED' else o_orderstatus end as status from orders union all select cast(-1 - n_nationkey as bigint), 'NEW' from nation")
+def merge_rows(spark, d):
+    """Changed orders and new ones, merged into the table by key."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    changed = orders.where("status = 'P'").withColumn("status", F.lit("MERGED"))
+    new = table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("o_orderkey"), F.lit("NEW").alias("status"))
+    return relational.merge(orders, changed.unionByName(new), ["o_orderkey"])
+
+
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000) or c_acctbal > 9000")
 def subquery_under_or(spark, d):
     e = _engine(spark, d, "customer", "orders")
