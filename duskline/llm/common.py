@@ -140,13 +140,14 @@ PAGE = 1 << 12
 MOST_BITS = 26
 
 
-def bitmap(df: DataFrame, key: str, count: str, hot: int) -> tuple[tuple[Bitmap, Bitmap], tuple[int, int, int]]:
-    """Bitmaps of all keys of df (distinct hashes) and of those counted `hot` times or more, and how many both are, and the sum of counts.
+def bitmap(keys: DataFrame) -> Bitmap:
+    """A bitmap of the one column of keys, 64-bit hashes.
 
-    Pages of the bitmaps are made on executors, each page in one task, and hold at most 2**MOST_BITS bits together.
+    It grows with the number of keys up to 2**MOST_BITS bits, which bounds what is broadcast; beyond that it says yes to more keys
+    that are not in it. Its pages are made on executors, each in one task.
     """
-    df = settle(df.select(F.col(key).alias("key"), F.col(count).alias("n")))
-    n, n_hot, total = df.agg(F.count("*"), F.coalesce(F.sum(F.expr(f"int(n >= {hot})")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys = keys.toDF("key")
+    n = keys.count()
     bits = min(MOST_BITS, max(15, int(16 * max(1, n)).bit_length()))
 
     def on_table(table: pa.Table) -> pa.Table:
@@ -156,9 +157,6 @@ def bitmap(df: DataFrame, key: str, count: str, hot: int) -> tuple[tuple[Bitmap,
         own[slot - page * 8 * PAGE] = True
         return pa.table([pa.array([page], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["page", "content"])
 
-    def pages(rows: DataFrame) -> dict[int, bytes]:
-        slots = rows.select(F.expr(f"shiftrightunsigned(key, {64 - bits})").alias("slot")).distinct()
-        made = slots.groupBy(F.expr(f"slot div {8 * PAGE}").alias("page")).applyInArrow(on_table, "page long, content binary")
-        return {r.page: bytes(r.content) for r in made.collect()}
-
-    return (Bitmap(bits, pages(df) if n else {}), Bitmap(bits, pages(df.where(F.col("n") >= hot)) if n_hot else {})), (n, n_hot, total)
+    slots = keys.select(F.expr(f"shiftrightunsigned(key, {64 - bits})").alias("slot")).distinct()
+    made = slots.groupBy(F.expr(f"slot div {8 * PAGE}").alias("page")).applyInArrow(on_table, "page long, content binary")
+    return Bitmap(bits, {r.page: bytes(r.content) for r in made.collect()} if n else {})

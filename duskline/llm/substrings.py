@@ -1,21 +1,24 @@
 """Removal of long passages that stand in the corpus more than once.
 
-Token k-mers (windows of `width` words) are the edges of a De Bruijn graph. The graph is never held
-edge by edge: as in partitioned assembly, each window belongs to its anchor, the least-hashed shorter
-word sequence inside it, and a stretch of consecutive windows with one anchor is a nonbranching path
-that is kept as one row (its source coordinates and the hashes of its windows). Equal windows have equal
-anchors, so
-
-1. anchors are counted over the corpus (about 7 % as many as words), and those seen once are done with;
-2. paths whose anchor repeats are joined by anchor; within an anchor, equal windows are repeated edges;
-3. repeated edges compact into spans of source coordinates, which are joined with the documents.
-
-Repeats of windows inside one chunk of a task are settled there: one representative travels, so a
-passage that a third of all documents share reaches a task once for each chunk and not for each document.
-Anchors with very many occurrences are dealt out by the hash of the window instead.
-
-The filter of repeated anchors is a bitmap of fixed largest size; its false positives only cost work.
-Windows count as equal if two 64-bit hashes (of the anchor and of the window) are.
+Token k-mers (windows of `width` words) are the edges of a De Bruijn graph. The graph is compacted before it is ever listed:
+
+1. Paths. Each window belongs to its anchor, the least-hashed shorter word sequence inside it. Consecutive windows of a document with one
+   anchor are one path, as windows follow each other there without a choice; a path is one row (about 1 for 11 windows).
+2. Branches. Equal windows have equal anchors, so one pass counts, for each anchor, its paths and whether they are all the same one.
+   Anchors seen once are done with. An anchor with one path is nonbranching: whoever holds the path repeats the whole of it. Where an
+   anchor has different paths, ways part or meet inside, and only there paths are taken apart into their edges.
+3. Joins. Paths are counted by their words (combined before the shuffle) and counts above one are joined back to the source coordinates
+   (id, first word) of each path. Then one row of every path of a branching anchor lists its edges: an edge repeats if two distinct
+   paths hold it, or one twice, and that too is counted and joined back. Keys that hold a large share of all rows are split among tasks.
+4. Verification. Hashes only propose. What is counted and joined is a digest of the very words at the source coordinates
+   (of a path 128 bits of BLAKE2; of an edge 64 bits of it beside its rolling hash), never the hash of an anchor alone.
+
+Copies of a path inside one task are settled there: the first row asks, a second one answers, and no more of them travel, so a passage
+that a third of all documents share is two rows for each task and not one for each document. (A task remembers at most
+SEEN paths at a time; paths that it forgets only travel again.)
+
+The filters of repeated and branching anchors, and of the rows that list edges, are bitmaps of fixed largest size. When they are full, more
+paths travel than need to (at most all, a row each, and all their edges); the result is the same.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null and empty texts have no words. Repeated rows are
 documents of their own and so repeat each other. A document with fewer words than `width` loses nothing.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +36,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, column, shuffle_partitions
-from .textbytes import SPACE_SPLIT, Chunk, chunks, spans, sums, windows, word_hashes
+from .common import bitmap, column, release, settle, settled, spread_join
+from .textbytes import SPACE_SPLIT, Chunk, Words, chunks, mix, spans, sums, windows, word_hashes
 
 WIDTH = 35
 ANCHOR_WORDS = 8
-#: Occurrences from which an anchor's windows are dealt out one by one, and windows aimed at in a bucket.
-HOT_ANCHOR = 100_000
-BUCKET_WINDOWS = 1_000_000
+#: Paths that a task remembers, about 30 MB.
+SEEN = 1 << 18
 
 
 def anchored(chunk: Chunk, width: int):
@@ -64,101 +67,220 @@ def anchored(chunk: Chunk, width: int):
     return words, first, (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), hashed, seeds
 
 
+@dataclass
+class Paths:
+    """Runs of consecutive windows of one document with one anchor: anchor, a hash of all windows, first word, windows, document."""
+
+    anchor: np.ndarray
+    code: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Paths:
+        return Paths(self.anchor[rows], self.code[rows], self.first[rows], self.size[rows], self.doc[rows])
+
+
+def paths_of(chunk: Chunk, width: int) -> tuple[Words, np.ndarray, Paths]:
+    """Words of a chunk, the hashes of windows by their first word (0 where none begins), and its paths."""
+    words, first, place, hashed, seeds = anchored(chunk, width)
+    whole = np.zeros(len(hashed), np.uint64)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return words, whole, Paths(none.view(np.uint64), none.view(np.uint64), none, none, none)
+    made, at = windows(hashed, words, width)
+    whole[at] = made
+    doc = words.doc[first]
+    new = np.ones(len(first), bool)
+    new[1:] = (np.diff(first) != 1) | (np.diff(doc) != 0) | (np.diff(place) != 0)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(first))
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(made))])
+    code = mix(prefix[end] - prefix[begin] + (end - begin).astype(np.uint64))
+    return words, whole, Paths(seeds[place[begin]], code, first[begin], end - begin, doc[begin])
+
+
 def anchor_counts(df: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """anchor, n: how often each anchor is chosen in the corpus."""
+    """anchor, n, branching: how many paths each anchor has in the corpus, and whether they differ."""
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                _, _, place, _, seeds = anchored(chunk, width)
-                anchors, n = np.unique(seeds[np.unique(place)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n, pa.int64())], ["anchor", "n"])
-
-    return df.select(F.col(text).alias("text")).mapInArrow(on_batches, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-
+                own = paths_of(chunk, width)[2]
+                order = np.lexsort((own.code, own.anchor))
+                anchor, code = own.anchor[order].view(np.int64), own.code[order].view(np.int64)
+                begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
+                end = np.append(begin[1:], len(anchor))[: len(begin)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[begin]), pa.array(end - begin, pa.int64()), pa.array(code[begin]), pa.array(code[end - 1])], ["anchor", "n", "one", "other"])
+
+    found = df.select(F.col(text).alias("text")).mapInArrow(on_batches, "anchor long, n long, one long, other long")
+    # In a chunk codes are in the order of unsigned numbers, so that least and most differ if any two do; so do they over chunks.
+    both = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min(F.least("one", "other")).alias("lo"), F.max(F.greatest("one", "other")).alias("hi"))
+    return both.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("branching"))
+
+
+def even_bytes(chunk: Chunk, words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a chunk with one space after each, and where each begins and ends in these bytes."""
+    size = words.end - words.start
+    end = np.cumsum(size + 1) - 1
+    inside = np.zeros(len(chunk.data) + 1, np.int8)
+    inside[words.start] += 1
+    inside[words.end] -= 1
+    own = chunk.data[np.cumsum(inside[:-1]) > 0]
+    out = np.full(len(own) + len(size), 32, np.uint8)
+    take = np.ones(len(out), bool)
+    take[end] = False
+    out[take] = own
+    return out.tobytes(), end - size, end
+
+
+_PATHS = "id long, text_hash long, first int, size int, copies int, known boolean, asks boolean, at long, anchor long, code long, words binary"
+
+
+def _places(chunk: Chunk, batch: pa.RecordBatch, own: Paths, words: Words) -> np.ndarray:
+    """A hash of each path's source coordinates: id, text and first word."""
+    part = batch.slice(chunk.first, len(chunk))
+    ids, keys = (np.asarray(column(part, n).fill_null(-1)).view(np.uint64) for n in ("id", "text_hash"))
+    local = (own.first - words.first[own.doc]).astype(np.uint64)
+    return mix(mix(mix(ids[own.doc]) ^ keys[own.doc]) + local)
+
+
+def listed_paths(df: DataFrame, width: int, repeated) -> DataFrame:
+    """The paths of anchors in the bitmap `repeated`, two rows at most for all equal ones of a task, and its spans that are known to repeat.
+
+    A row with `known` is a span of words (first, size words) that repeats within the task. Others are paths (first word, size windows) with
+    a digest of their words. A path that the task has only once up to this row asks whether it repeats.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(repeated)
 
-def repeated_spans(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id, text_hash, lo, hi: word ranges of the rows of df (id, text_hash, text) that repeated windows cover."""
-    spark = df.sparkSession
-    counted = anchor_counts(df, width).where("n > 1")
-    repeated, (n_repeated, n_hot, n_seen) = bitmap(counted, "anchor", "n", HOT_ANCHOR)
-    filters = spark.sparkContext.broadcast(repeated)
-    reach = width - min(ANCHOR_WORDS, width) + 1
-    n_buckets = int(max(4 * shuffle_partitions(spark), n_seen * reach // 2 // BUCKET_WINDOWS))
-    path_schema = "bucket int, anchor long, id long, text_hash long, start int, hashes binary, known binary"
-    span_schema = "id long, text_hash long, lo int, hi int"
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot_bits = filters.value
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = sent.value
+        seen: dict[bytes, bool] = {}  # whether a path has been answered for
         for batch in batches:
             ids, keys = column(batch, "id"), column(batch, "text_hash")
             for chunk in chunks(column(batch, "text")):
-                words, first, place, hashed, seeds = anchored(chunk, width)
-                anchor = seeds[place] if len(place) else np.zeros(0, np.uint64)
-                take = bits.holds(anchor)
-                if not take.any():
+                words, _, own = paths_of(chunk, width)
+                take = np.flatnonzero(repeats.holds(own.anchor))
+                if not len(take):
                     continue
-                first, place, anchor = first[take], place[take], anchor[take]
-                made, at = windows(hashed, words, width)
-                made = made[np.searchsorted(at, first)]
-                doc = words.doc[first]
-                local = first - words.first[doc]
-                order = np.lexsort((made, anchor))
-                same = (made[order][1:] == made[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-                head = np.ones(len(first), bool)
-                head[order[1:][same]] = False
-                known = np.zeros(len(first), bool)
-                known[order[1:][same]] = known[order[:-1][same]] = True
-                rows = [(-1, local[a], local[b - 1] + width, doc[a], None, None) for a, b in runs(known, first, doc)]
-                hot = hot_bits.holds(anchor)
-                spread = np.where(hot, made, anchor)
-                bucket = ((spread >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)
-                cut = np.flatnonzero(head)
-                if len(cut):
-                    new = np.ones(len(cut), bool)
-                    new[1:] = (np.diff(first[cut]) != 1) | (doc[cut][1:] != doc[cut][:-1]) | (place[cut][1:] != place[cut][:-1]) | (bucket[cut][1:] != bucket[cut][:-1])
-                    begins = np.flatnonzero(new)
-                    ends = np.append(begins[1:], len(cut))
-                    flat, flags = made[cut].tobytes(), known[cut].tobytes()
-                    lead = cut[begins]
-                    rows += zip(bucket[lead].tolist(), local[lead].tolist(), anchor[lead].view(np.int64).tolist(), doc[lead].tolist(), [flat[8 * a : 8 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], [flags[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], strict=True)
-                if not rows:
+                own = own.take(take)
+                anchor, code, first, size, doc = own.anchor, own.code, own.first, own.size, own.doc
+                text, begin, end = even_bytes(chunk, words)
+                made = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begin[first].tolist(), end[first + size + width - 2].tolist(), strict=True)]
+                flat = np.frombuffer(b"".join(made), np.uint64).reshape(len(made), 2)
+                order = np.lexsort((flat[:, 1], flat[:, 0], code, anchor))
+                new = np.ones(len(order), bool)
+                for x in (anchor, code, flat[:, 0], flat[:, 1]):
+                    new[1:] &= x[order][1:] == x[order][:-1]
+                new[1:] = ~new[1:]
+                heads = np.flatnonzero(new)
+                copies = np.diff(np.append(heads, len(order)))
+                lead = order[heads]  # lexsort keeps equal rows in their order, so this is the first of each
+                if len(seen) + len(lead) > SEEN:
+                    seen.clear()
+                words_of = [made[i] for i in lead.tolist()]
+                state = np.array([1 + seen[w] if w in seen else 0 for w in words_of])
+                asks = (state == 0) & (copies == 1)
+                seen.update(zip(words_of, (~asks).tolist(), strict=True))
+                known = np.zeros(len(order), bool)
+                known[order] = np.repeat(~asks, copies)
+                again = np.zeros(len(words.start) + 1, np.int64)
+                np.add.at(again, first[known], 1)
+                np.add.at(again, (first + size + width - 1)[known], -1)
+                gone = np.cumsum(again[:-1]) > 0
+                cuts = np.array(runs(gone, np.arange(len(gone)), words.doc), np.int64).reshape(-1, 2)
+                sent_on = state < 2
+                lead, copies, asks = lead[sent_on], copies[sent_on], asks[sent_on]
+                n, m = len(cuts), len(lead)
+                owner = np.concatenate([words.doc[cuts[:, 0]], doc[lead]])
+                start = np.concatenate([cuts[:, 0], first[lead]]) - words.first[owner]
+                none = np.arange(n + m) < n
+                rows = pa.array(owner + chunk.first)
+                pad = np.zeros(n, np.int64)
+                longs = [np.concatenate([pad, x[lead].view(np.int64)]) for x in (_places(chunk, batch, own, words), anchor, code)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(rows),
+                        keys.take(rows),
+                        pa.array(start, pa.int32()),
+                        pa.array(np.concatenate([cuts[:, 1] - cuts[:, 0], size[lead]]), pa.int32()),
+                        pa.array(np.concatenate([pad, copies]), pa.int32()),
+                        pa.array(none),
+                        pa.array(np.concatenate([pad > 0, asks])),
+                        *[pa.array(x, pa.int64(), mask=none) for x in longs],
+                        pa.array([None] * n + [made[i] for i in lead.tolist()], pa.binary()),
+                    ],
+                    [x.split()[0] for x in _PATHS.split(", ")],
+                )
+
+    return df.select("id", "text_hash", "text").mapInArrow(on_batches, _PATHS)
+
+
+def listed_edges(df: DataFrame, width: int, branching, chosen) -> DataFrame:
+    """id, text_hash, first, e1, e2: the edges of paths of anchors in the bitmap `branching` whose place is in the bitmap `chosen`.
+
+    e1 and e2 are the rolling hash and a digest of an edge's words.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((branching, chosen))
+
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branches, places = sent.value
+        for batch in batches:
+            ids, keys = column(batch, "id"), column(batch, "text_hash")
+            for chunk in chunks(column(batch, "text")):
+                words, whole, own = paths_of(chunk, width)
+                own = own.take(np.flatnonzero(branches.holds(own.anchor)))
+                own = own.take(np.flatnonzero(places.holds(_places(chunk, batch, own, words))))
+                if not len(own.first):
                     continue
-                b, start, anchors, docs, flat_hashes, flat_known = zip(*rows, strict=True)
-                own = pa.array(np.array(docs, np.int64) + chunk.first)
-                row_ids, row_keys = ids.take(own), keys.take(own)
-                settled = np.array(b) < 0  # spans that are known already pass through, dealt out by document
-                b = np.where(settled, np.array(docs, np.int64) % n_buckets, b)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(anchors, pa.int64()), row_ids, row_keys, pa.array(start, pa.int32()), pa.array(flat_hashes, pa.binary()), pa.array(flat_known, pa.binary())], ["bucket", "anchor", "id", "text_hash", "start", "hashes", "known"])
-
-    def edges(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        passing = np.asarray(table["hashes"].is_null())
-        start = np.asarray(table["start"]).astype(np.int64)
-        anchors = np.asarray(table["anchor"])
-        own = [np.flatnonzero(passing)]
-        los, his = [start[passing]], [anchors[passing]]
-        rows = np.flatnonzero(~passing)
-        if len(rows):
-            sizes = np.array([len(x) for x in table["known"].take(pa.array(rows)).to_pylist()])
-            made = np.frombuffer(b"".join(table["hashes"].take(pa.array(rows)).to_pylist()), np.uint64)
-            again = np.frombuffer(b"".join(table["known"].take(pa.array(rows)).to_pylist()), bool).copy()
-            row = np.repeat(rows, sizes)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[row]
-            anchor = anchors[row]
-            order = np.lexsort((made, anchor))
-            same = (made[order][1:] == made[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-            again[order[1:][same]] = again[order[:-1][same]] = True
-            cuts = runs(again, at, row)
-            if cuts:
-                a, b = np.array(cuts).T
-                own.append(row[a])
-                los.append(at[a])
-                his.append(at[b - 1] + width)
-        pick = pa.array(np.concatenate(own))
-        return pa.table([table["id"].take(pick), table["text_hash"].take(pick), pa.array(np.concatenate(los), pa.int32()), pa.array(np.concatenate(his), pa.int32())], names=["id", "text_hash", "lo", "hi"])
-
-    return df.select("id", "text_hash", "text").mapInArrow(paths, path_schema).groupBy("bucket").applyInArrow(edges, span_schema)
+                at = np.repeat(own.first - np.cumsum(own.size) + own.size, own.size) + np.arange(int(own.size.sum()))
+                text, begin, end = even_bytes(chunk, words)
+                parts = b"".join([hashlib.blake2b(text[a:b], digest_size=8).digest() for a, b in zip(begin[at].tolist(), end[at + width - 1].tolist(), strict=True)])
+                doc = words.doc[at]
+                rows = pa.array(doc + chunk.first)
+                yield pa.RecordBatch.from_arrays([ids.take(rows), keys.take(rows), pa.array(at - words.first[doc], pa.int32()), pa.array(whole[at].view(np.int64)), pa.array(np.frombuffer(parts, np.int64))], ["id", "text_hash", "first", "e1", "e2"])
+
+    return df.select("id", "text_hash", "text").mapInArrow(on_batches, "id long, text_hash long, first int, e1 long, e2 long")
+
+
+def repeated_spans(df: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id, text_hash, lo, hi: word ranges of the rows of df (id, text_hash, text) that repeated windows cover."""
+    spark, before = df.sparkSession, settled()
+
+    def drop(*kept: DataFrame) -> None:
+        """Delete what was settled on the way but for these frames."""
+        stay = {f for k in kept for f in folders[id(k)]}
+        release(spark, [x for x in settled() if x not in before and x not in stay])
+
+    folders: dict[int, list[str]] = {}
+
+    def held(frame: DataFrame) -> DataFrame:
+        out = settle(frame)
+        folders[id(out)] = settled()[-1:]
+        return out
+
+    counted = held(anchor_counts(df, width).where("n > 1").select("anchor", "branching"))
+    branching = bitmap(counted.where("branching").select("anchor"))
+    listed = held(listed_paths(df, width, bitmap(counted.select("anchor"))))
+    drop(counted, listed)
+    paths = listed.where("not known")
+    by = ["anchor", "code", "words"]
+    counts = held(paths.groupBy(*by).agg(F.sum("copies").alias("n"), F.sum(F.expr("int(asks)")).alias("__n"), F.min("at").alias("at")))
+    same = counts.where("n > 1")
+    known = listed.where("known").select("id", "text_hash", F.col("first").alias("lo"), (F.col("first") + F.col("size")).alias("hi"))
+    whole = spread_join(paths.where("asks").select("id", "text_hash", "first", "size", *by), same.select(*by), by, counted=same.select(*by, "__n"))
+    whole = whole.select("id", "text_hash", F.col("first").alias("lo"), (F.col("first") + F.col("size") + (width - 1)).alias("hi"))
+    whole = held(known.union(whole))
+    # Of every path of a branching anchor one row lists its edges; an edge repeats if two distinct paths hold it, or one twice.
+    branches = counts.join(counted.where("branching").select("anchor"), "anchor", "left_semi")
+    edges = held(listed_edges(df, width, branching, bitmap(branches.select("at"))))
+    drop(whole, edges)
+    met = held(edges.groupBy("e1", "e2").agg(F.count("*").alias("__n")).where("__n > 1"))
+    parts = spread_join(edges, met.select("e1", "e2"), ["e1", "e2"], counted=met)
+    parts = parts.select("id", "text_hash", F.col("first").alias("lo"), (F.col("first") + width).alias("hi"))
+    found = held(whole.union(parts))
+    drop(found)
+    return found
 
 
 def runs(flags: np.ndarray, at: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
