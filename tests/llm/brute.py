@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -123,6 +124,37 @@ def license_base(text: str | None) -> tuple:
     return len(w), len(found), min(found, default=None), max(found, default=None), ",".join(sorted(labels))
 
 
+def license_scan(texts: list[str | None], templates, phrases: dict, entered: int, least: float) -> list[tuple[str, float]]:
+    """labels and score of each text: every template at every offset, word by word."""
+    split = lambda t: ALNUM.findall(fold(t or ""))
+    files = [split(t) for t in texts]
+    known = {w for _, a, b in templates for w in split(a) + split(b)} | {w for p in phrases for w in split(p)}
+    df = Counter(w for f in files for w in set(f) & known)
+    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) + 1e-6 for w in known}
+    has = lambda f, p: any(f[i : i + len(p)] == p for i in range(len(f) - len(p) + 1))
+    out = []
+    for f in files:
+        labels, score = set(), 0.0
+        for phrase, label in phrases.items():
+            if has(f, split(phrase)):
+                labels.add(label)
+                score = max(score, 0.5)
+        for label, text, key in templates:
+            t = split(text)
+            rare = sorted(set(t), key=lambda w: (-idf[w], w))[:entered]
+            entries = [p for p, w in enumerate(t) if w in rare]
+            at = lambda o, ps: [p for p in ps if 0 <= o + p < len(f) and f[o + p] == t[p]]  # noqa: B023, E731
+            offsets = [o for o in range(-len(t), len(f)) if 2 * len(at(o, entries)) >= len(entries) and at(o, entries)]
+            if not offsets or not has(f, split(key)):
+                continue
+            share = max(sum(idf[t[p]] for p in at(o, range(len(t)))) for o in offsets) / sum(idf[w] for w in t)
+            if share >= least:
+                labels.add(label)
+                score = max(score, min(1.0, share))
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
 def crc(text: str | None) -> int | None:
     return None if text is None else zlib.crc32(text.encode())
 
@@ -137,6 +169,57 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
+def swap_distance(a: str, b: str) -> int:
+    """Edits between two words, where two neighbours that change places are one."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
+
+
+def toxic_score(text: str | None, lexicon, fuzzy: tuple[int, int], window: int, quotes: str) -> float:
+    """The score of one text: its words one by one against all entries, its lines one by one for quotations."""
+    logit = lambda p: math.log(p / (1 - p))
+    base, best = logit(lexicon.without), {}
+    stems = [t for t, stem in lexicon.entries if stem]
+    for line in (text or "").lower().split("\n"):
+        found, marks = [], []  # words with the marks before them, marks with the words before them
+        for word, mark in re.findall(rf"([^\W_]+)|([{quotes}])", line):
+            if mark:
+                marks.append(len(found))
+            else:
+                found.append((word, len(marks)))
+        for i, (w, before) in enumerate(found):
+            hit = None
+            exact = [e for e, (t, _) in enumerate(lexicon.entries) if t == w]
+            held = [e for e, (t, stem) in enumerate(lexicon.entries) if stem and w.startswith(t)]
+            if exact or held:
+                hit = (exact or held)[0], 0
+            else:
+                near = []
+                for e, (t, stem) in enumerate(lexicon.entries):
+                    allowed = 0 if stem or len(t) < fuzzy[0] else 1 if len(t) < fuzzy[1] else 2
+                    if allowed and t[0] == w[0] and (n := swap_distance(w, t)) <= allowed:
+                        near.append((n, e))
+                if near:
+                    hit = min(near)[1], 1
+            if hit is None:
+                continue
+            quoted = before % 2 == 1 and before < len(marks) and i - marks[before - 1] <= window and marks[before] - i <= window
+            e, miss = hit
+            t = lexicon.entries[e][0]
+            p = min(lexicon.exact[e], lexicon.misspelt[len(t)]) if miss else lexicon.exact[e]
+            worth = max(0.0, logit(min(p, lexicon.context[True] if quoted else 1.0, 0.995)) - base)
+            family = next((x for x in stems if t.startswith(x)), t)
+            best[family] = max(best.get(family, 0.0), worth)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, base + sum(best.values())))))
+
+
 def line_dedup(rows: list[tuple], ratio: float, least: int) -> list[str | None]:
     """Texts of rows (host, text) without boilerplate lines."""
     pages: Counter = Counter()

@@ -45,6 +45,18 @@ def test_near_copies_in_one_bucket_that_its_least_class_does_not_link(spark):
     assert got == want
 
 
+def test_pairs_at_the_threshold_are_linked_and_pairs_below_are_not(spark):
+    """300 pairs of 80 common words of 100 (0.8 exactly), in whole groups that share a bucket, and 300 of 79 of 101."""
+    rows = []
+    for i in range(600):
+        common = [f"c{i}x{j}" for j in range(80 if i < 300 else 79)]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join(common + [f"o{i}s{side}x{j}" for j in range(90 - len(common))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.component_id for r in neardup.near_duplicates(df, 1).collect()}
+    assert got == {2 * i + side: 2 * i + (side if i >= 300 else 0) for i in range(600) for side in (0, 1)}
+
+
 def test_every_coordinate_of_a_sketch_fills():
     for n in (1, 2, 3, 50, 1000):
         value = np.arange(n, dtype=np.uint64)
@@ -96,13 +108,44 @@ def test_substrings_are_those_of_brute_force(odd, documents, width):
         assert got == sorted(brute.substring_rows(rows, width), key=sort_key)
 
 
-def test_hot_anchors_give_the_same(odd, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ANCHOR", 2)
+def test_full_filters_give_the_same(odd, monkeypatch):
+    from duskline.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", 15)
+    monkeypatch.setattr(common.Bitmap, "holds", lambda self, hashes: np.ones(len(hashes), bool))
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in substrings.digests(odd, 35).collect()), key=sort_key)
     assert got == sorted(brute.substring_rows(rows, 35), key=sort_key)
 
 
+def test_passages_in_other_surroundings_and_a_hot_one(spark, clashing, odd):
+    """Passages cut short, one inside the other, twice in a row, and one in most documents (its key is split among tasks)."""
+    rng = random.Random(9)
+    long, short = sentence(rng, 120).split(), sentence(rng, 36).split()
+    rows = []
+    for i in range(700):
+        own = sentence(rng, rng.randint(0, 12)).split()
+        rows.append((i, " ".join(own + short + sentence(rng, 5).split())))
+    for i in range(60):
+        a = rng.randrange(60)
+        rows.append((1000 + i, " ".join(sentence(rng, 10).split() + long[a : a + rng.randint(30, 60)] + sentence(rng, 10).split() + long[: 20 + i])))
+    rows += [(2000, " ".join(short * 3)), (2001, "x " * 200), (2002, "x y " * 40), (2003, " ".join(long + long[::-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(tuple(r) for r in substrings.digests(df, 35).collect()) == sorted(brute.substring_rows(rows, 35))
+    own = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in substrings.digests(clashing, 35).collect()), key=sort_key) == sorted(brute.substring_rows(own, 35), key=sort_key)
+
+
+def test_rows_of_a_hot_key_are_spread(spark):
+    from duskline.llm.common import settle, spread_join
+
+    big = settle(spark.range(5000).selectExpr("id", "if(id < 3000, 7, id) as k").union(spark.sql("select 1L, cast(null as bigint)")))
+    small = spark.range(0, 4000, 7).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        rows = lambda df: Counter(tuple(r) for r in df.select("k", "id", "v").collect())
+        assert rows(spread_join(big, small, ["k"], how)) == rows(big.join(small, "k", how))
+
+
 def test_remove_cuts_passages_out_of_texts(odd, clashing):
     got = substrings.remove(clashing)
     assert got.columns == clashing.columns
@@ -129,6 +172,25 @@ def test_lines_of_documents_like_brute_force(odd, clashing, documents):
         assert Counter((r.doc_id, r.text) for r in linededup.clean_documents(df).select("doc_id", "text").collect()) == want
 
 
+def test_many_flagged_lines_are_joined(spark, monkeypatch):
+    rows = [(i, f"menu\nown {i}\nx {i % 3}", "h") for i in range(60)] + [(100, None, "h"), (101, "menu", None), (102, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(map(tuple, linededup.clean_documents(df).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, linededup.clean_documents(df).collect())) == want and len(want) == 63
+
+
+def test_pages_of_all_kinds(spark):
+    """No pages, repeated pages, clashing columns, and a very long page."""
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert linededup.clean_pages(empty).count() == 0
+    long = "<div>" + "".join(f"<p>line {i}</p>" for i in range(50_000)) + "<p>menu</p></div>"
+    rows = [(1, "http://h/a", "<p>menu</p>own"), (1, "http://h/a", "<p>menu</p>own"), (2, "http://h/b", long), (3, "http://h/c", "<p>menu</p>"), (4, "http://g/c", "<p>menu</p>")]
+    pages = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], "page_id long, url string, html string, host string, lines int, kept int, flagged int, n_lines int")
+    got = sorted((r.page_id, r.host, r.n_lines, r.n_dropped) for r in linededup.clean_pages(pages).collect())
+    assert got == [(1, "h", 2, 1), (1, "h", 2, 1), (2, "h", 50_001, 1), (3, "h", 1, 1), (4, "g", 1, 0)]
+
+
 def test_hosts():
     from duskline.session import build_session
 

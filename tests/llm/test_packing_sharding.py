@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from duskline.llm import packing, sharding
 from duskline.llm import queries
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -77,6 +78,35 @@ def test_packing_is_the_same_however_rows_are_dealt(odd):
     assert a == b
 
 
+def test_rows_repeated_past_counting_are_dealt_alike(spark):
+    rows = [(1, "one two three", "s")] * 40 + [(i, f"text {i} " * (i % 7 + 1), "t") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [Counter(map(tuple, packing.pack(df.repartition(n), group_rows=8).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+
+
+def test_groups_are_packed_as_brute_force_packs_them(spark, documents):
+    """The whole of pack(): each group of its rows by the plain best fit, in the order of length, hash and id."""
+    capacity, quota = 300, 3
+    rows = packing.pack(documents, capacity=capacity, quota=quota, group_rows=40).collect()
+    keys = {(r.doc_id): r.key for r in packing.measured(documents, "doc_id", "text", "source", None).selectExpr("id as doc_id", "key").collect()}
+    groups = max(1, documents.count() // 40)
+    by = defaultdict(list)
+    for r in rows:
+        if r.bin is not None:
+            by[r.bin % groups].append(r)
+    assert len(by) > 3
+    for own in by.values():
+        own.sort(key=lambda r: (-r.n_words, keys[r.id], r.id, r.piece))
+        bins, starts = naive_best_fit([r.n_words for r in own], [r.source for r in own], [r.cluster for r in own], capacity, quota)
+        assert [(r.bin // groups, r.bin_start) for r in own] == list(zip(bins, starts, strict=True))
+
+
+def test_groups_fill_bins_about_as_well_as_the_whole_table(spark, documents):
+    one, many = (packing.fill(packing.pack(documents, group_rows=n)).first() for n in (10**9, 250))
+    assert one.n_words == many.n_words and one.fill >= many.fill > one.fill - 0.05
+
+
 def test_packing_the_table(spark, small, documents):
     rows = packing.pack(documents).collect()
     check(rows, [(r.doc_id, r.text) for r in documents.collect()], packing.CAPACITY, packing.SOURCE_QUOTA)
@@ -117,6 +147,37 @@ def test_shards_have_near_equal_bytes(spark, small, documents):
     assert len(got) == len(rows) and {r.law for r in got} == {"bytes"} and all(0 <= r.shard < 24 for r in got)
 
 
+def test_splitters_are_where_sorting_and_cutting_puts_them(spark, documents):
+    """All rows sorted by their keys; each cut is the place with the wanted bytes before it, within the tolerance or one row's size."""
+    shards = 24
+    keyed = documents.select("doc_id", sharding._hashed(F.col("text")).alias("k1"), sharding._hashed(F.struct("doc_id")).alias("k2"), (F.octet_length("text") + 8).alias("size"))
+    order = sorted((r.k1, r.k2, r["size"], r.doc_id) for r in keyed.collect())
+    total = sum(r[2] for r in order)
+    rows, by = shard_rows(documents, shards)
+    shard = {r.id: r.shard for r in rows}
+    assert [shard[r[3]] for r in order] == sorted(shard.values())  # shards are ranges of the sorted rows
+    groups = Counter()
+    for r in order:
+        groups[r[0]] += r[2]
+    at, ends = 0, {}
+    for r in order:
+        at += r[2]
+        ends[shard[r[3]]] = at
+    for s in range(shards - 1):
+        if s in ends:
+            goal = total * (s + 1) // shards
+            assert abs(ends[s] - goal) <= max(sharding.TOLERANCE * total / shards, max(r[2] for r in order) / 2 + 1), s
+    slots = {s: [r.id for r in sorted(own, key=lambda r: r.slot)] for s, own in by.items()}
+    for s, ids in slots.items():
+        assert ids == [r[3] for r in order if shard[r[3]] == s]
+
+
+def test_rows_that_repeat_id_and_text_have_slots_of_their_own(spark):
+    rows = [(7, "the same row")] * 900 + [(i, f"other {i}") for i in range(100)]
+    got, by = shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3)
+    assert len(got) == 1000 and len({r.shard for r in got if r.text_crc32 == brute.crc("the same row")}) == 1
+
+
 def test_a_hot_group_is_cut_only_where_it_must_be(spark):
     rows = [(i, "x" * 100) for i in range(600)] + [(1000 + i, f"text {i} " * 8) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from duskline.llm import licenses, quality, queries, sentencepieces, toxicity
+from duskline.llm.textbytes import chunks
 from pyspark.sql import functions as F
 
 from . import brute
@@ -46,6 +49,39 @@ def test_rules_run_by_rejection_per_cost(spark):
     assert quality.plan(df.where("false"), [dear, free]) == ["dear", "free"]
 
 
+def test_rules_see_survivors_only_in_their_measured_order(documents):
+    """What each rule is asked: the documents that no rule before it rejected, and none that the base failed."""
+    asked: dict[str, int] = {}
+
+    def counting(rule):
+        def rejects(m):
+            asked[rule.name] = asked.get(rule.name, 0) + len(m.chunk)
+            return rule.rejects(m)
+
+        return quality.Rule(rule.name, rejects)
+
+    texts = pa.array([r.text for r in documents.collect()])
+    order = quality.ordered(quality.RULES, quality.plan(documents))
+    kept = quality.cascade(texts, [counting(r) for r in order])
+    left = np.ones(len(texts), bool)
+    for rule in order:
+        assert asked[rule.name] == left.sum(), rule.name
+        left &= ~np.concatenate([rule.rejects(quality.Measure(c)) for c in chunks(texts)])
+    assert (kept == left).all() and left.sum() < len(left)
+
+
+def test_a_measure_of_fewer_documents_counts_alike(odd):
+    texts = pa.array([r.text for r in odd.collect()])
+    for chunk in chunks(texts):
+        whole = quality.Measure(chunk)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutters", "n_upper", "n_letters")
+        _ = whole.hashes, whole.n_lines
+        stay = np.arange(len(chunk)) % 3 != 1
+        part = whole.take(stay)
+        for n in names:
+            assert (getattr(part, n) == getattr(quality.Measure(chunk), n)[stay]).all(), n
+
+
 def test_kept_rows_keep_their_columns(clashing):
     got = quality.keep(clashing)
     assert got.columns == clashing.columns
@@ -63,14 +99,43 @@ def test_license_places_are_those_of_brute_force(odd, clashing, documents, none)
     assert licenses.scan(none).count() == 0
 
 
+def test_license_labels_and_scores_are_those_of_brute_force(spark, odd, documents):
+    rng = random.Random(7)
+    prose = [f"{a}{b}" for a in ("ba", "de", "ko", "lu") for b in ("ren", "sal", "tok")] + ["the", "license", "software", "of"]
+    filler = lambda n: [rng.choice(prose) for _ in range(n)]
+    rows = []
+    for i, (_, text, _) in enumerate(licenses.TEMPLATES):
+        w = licenses.words_of(text)
+        changed = [rng.choice(prose) if rng.random() < 0.2 else x for x in w]
+        cut = rng.randrange(len(w))
+        for j, own in enumerate((w, changed, w[cut:], w[:cut], w[:cut] + filler(2) + w[cut:], w[::-1], w + w)):
+            rows.append((10 * i + j, " ".join(filler(rng.randint(0, 30)) + own + filler(rng.randint(0, 30)))))
+    planted = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for df in (planted, odd.where("doc_id is not null"), documents):
+        own = df.select("doc_id", "text").collect()
+        want = brute.license_scan([r.text for r in own], licenses.TEMPLATES, licenses.PHRASES, licenses.ANCHORS, licenses.MIN_SCORE)
+        got = Counter((r.doc_id, r["labels"], round(r.score, 9)) for r in licenses.scan(df).collect())
+        assert got == Counter((r.doc_id, x, round(y, 9)) for r, (x, y) in zip(own, want, strict=True))
+
+
 def test_licenses_are_found_by_template_and_key_phrase(spark):
-    text, phrase = licenses.TEMPLATES["bsd"]
+    _, text, phrase = next(t for t in licenses.TEMPLATES if t[0] == "bsd")
     filler = " ".join(f"w{i}" for i in range(40))
     rows = [(1, f"{filler} {text} {filler}"), (2, f"{filler} {' '.join(reversed(text.split()))}"), (3, text.replace(phrase, "redistribution or use in any forms")), (4, filler), (5, text.upper().replace(" ", ",\n"))]
     got = {r.doc_id: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "bsd", 2: "", 3: "", 4: "", 5: "bsd"}
 
 
+def test_whole_texts_have_their_own_labels():
+    """Each text scores highest for its own template."""
+    vocabulary = licenses.Vocabulary(licenses.TEMPLATES, licenses.PHRASES)
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, vocabulary, 1000, np.ones(len(vocabulary.words), np.int64))
+    for label, text, _ in licenses.TEMPLATES:
+        numbers = vocabulary.phrase(text)
+        found = scanner.matches(numbers, np.zeros(len(numbers), np.int64), np.array([0, len(numbers)]))
+        assert (label, 1.0) in {(x, round(share, 9)) for _, x, share in found}
+
+
 def test_pieces_are_those_of_the_library(odd, clashing, documents, none):
     import sentencepiece
 
@@ -97,6 +162,17 @@ def test_pieces_of_hard_texts():
         assert model.decode_bytes(ids).decode() == own.decode(ids.tolist()), repr(t)
 
 
+def test_one_very_long_word_is_encoded_as_the_library_does():
+    """A word without any space; rounds are at most the distinct ranks of its pairs, whatever its length."""
+    import sentencepiece
+
+    own, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepieces.Model(MODEL)
+    rng = random.Random(12)
+    for t in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8000)), "ab" * 5000, "\U0001f600" * 2000):
+        (ids,) = model.encode([t])
+        assert ids.tolist() == own.encode(t) and model.decode_bytes(ids).decode() == own.decode(ids.tolist())
+
+
 def test_encode_and_decode_columns(clashing):
     encoded = sentencepieces.encode(clashing, MODEL)
     assert encoded.columns == [*clashing.columns, "ids"]
@@ -137,18 +213,6 @@ def test_the_automaton_knows_edit_distance(stem):
             assert i not in got, w
 
 
-def _restricted_damerau(a, b):
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        rows.append([i])
-        for j, y in enumerate(b, 1):
-            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                best = min(best, rows[i - 2][j - 2] + 1)
-            rows[i].append(best)
-    return rows[-1][-1]
-
-
 def test_swapped_neighbours_are_one_error():
     rng = random.Random(3)
     entries = [("idiot", False), ("idiom", False), ("worthless", False), ("scum", False), ("moron", False), ("stupid", False)]
@@ -172,7 +236,7 @@ def test_swapped_neighbours_are_one_error():
     got = dict(zip(hits.doc.tolist(), hits.payload.tolist(), strict=True))
     assert len(got) > 500
     for i, w in enumerate(words):
-        near = [2 * e + (w != x) for e, (x, _) in enumerate(entries) if w[:1] == x[:1] and _restricted_damerau(w, x) <= automaton.allowed(e)]
+        near = [2 * e + (w != x) for e, (x, _) in enumerate(entries) if w[:1] == x[:1] and brute.swap_distance(w, x) <= automaton.allowed(e)]
         assert got[i] in near if near else i not in got, w
 
 
@@ -224,6 +288,45 @@ def test_toxicity_of_rows_that_were_held_out(spark):
     assert score[2] < 0.7 and score[3] == score[4] == score[5] < 0.2
 
 
+def test_scores_are_those_of_brute_force(spark, odd, clashing):
+    """Exact words, stems, misspellings, quotations within and across lines, ties, nulls, and a very long text."""
+    rng = random.Random(10)
+    entries = [("idio", True), ("idiocy", False), ("idiot", False), ("moron", False), ("worthless", False), ("scum", False), ("pathetic", False)]
+    lexicon = toxicity.Lexicon(entries, [0.9, 0.97, 0.99, 0.8, 0.95, 0.9, 0.85], {n: 0.6 + n / 40 for n in (4, 5, 6, 8, 9)}, {False: 0.97, True: 0.3}, 0.04)
+    prose = ["the", "a", "said", "bavin", "KOSAL", "naïve", "x_y", "idea"]
+
+    def word():
+        if rng.random() < 0.6:
+            return rng.choice(prose)
+        w = list(rng.choice(entries)[0] + rng.choice(["", "", "s", "ic"]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w) - 1)
+            kind = rng.randint(0, 3)
+            if kind == 0:
+                w[at], w[at + 1] = w[at + 1], w[at]
+            elif kind == 1:
+                del w[at]
+            elif kind == 2:
+                w.insert(at, rng.choice("eiost"))
+        return rng.choice([str.lower, str.upper, str.title])("".join(w))
+
+    def text(n):
+        return "".join(rng.choice(['"', "“", "”", ""]) * (rng.random() < 0.3) + word() + rng.choice([" ", ", ", "\n", '" ', " "]) for _ in range(n))
+
+    texts = [text(rng.randint(1, 40)) for _ in range(400)] + [text(30_000), None, "", "\n", '"idiot"', "idiot idiot idiots"]
+    rows = list(enumerate(texts))
+    want = {i: brute.toxic_score(t, lexicon, (toxicity.FUZZY, toxicity.VERY_FUZZY), toxicity.WINDOW, toxicity._QUOTES) for i, t in rows}
+    got = toxicity.score(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, score string, predicted int").repartition(3), lexicon).collect()
+    assert len(got) == len(rows) and len({round(x, 6) for x in want.values()}) > 30
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-9, texts[r.doc_id]
+        assert r.predicted == int(r.score >= toxicity.THRESHOLD)
+    tie = toxicity.Lexicon([], without=toxicity.THRESHOLD)
+    assert {r.predicted for r in toxicity.score(clashing, tie).collect()} == {int(1 / (1 + math.exp(-math.log(0.7 / 0.3))) >= 0.7)}
+    again = odd.selectExpr("1L as doc_id", "text")
+    assert len(toxicity.score(again, lexicon).collect()) == odd.count()
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs, labels = _corpus(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))

@@ -46,6 +46,25 @@ def test_top_k_with_ties_odd_vectors_and_few_candidates(spark):
     assert got == top(rows, asked, 20)
 
 
+def test_top_k_in_many_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk, "BINS", 8)
+    monkeypatch.setattr(topk, "PRODUCT", 50)
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 5 = 0"), 4).collect())
+    assert got == top(rows, [r for r in rows if r[0] % 5 == 0], 4)
+
+
+def test_scores_that_no_long_holds_are_refused(spark):
+    df = spark.createDataFrame([(1, [1e9, 1.0]), (2, [1e9, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.search(df, df, 1)
+    large = spark.createDataFrame([(1, [1e7, 1.0]), (2, [-1e7, 2.0]), (3, [1e7, 3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(large, large.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 1, 3, 64 * 64 * (10**14 + 3)), (1, 2, 2, 64 * 64 * (2 - 10**14))]
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, df, 5).count() == 0
@@ -98,5 +117,15 @@ def test_stages_take_odd_rows(spark, odd, small):
     assert empty.count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, clashing, odd, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, plain = clashing, odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = stage(spark, docs, small), stage(spark, plain, small)
+        assert docs.columns == clashing.columns
+    assert Counter((r[0], r[1]) for r in docs.collect()) == Counter((r[0], r[1]) for r in plain.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() > 0
+
+
 def test_ten_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
