@@ -134,10 +134,9 @@ def signatures(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(on_batches, "id long, text_hash long, n long, cls long, bands array<long>, sketch binary")
 
 
-def _class_sets(df: DataFrame, classes: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+def _class_sets(df: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """cls, set: the sorted shingle hashes of each of these classes, made from one of its texts."""
-    chosen = signed.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("text_hash", "id")).alias("row"))
-    chosen = settle(chosen.select("cls", F.col("row.id").alias("c_id"), F.col("row.text_hash").alias("c_hash")))
+    chosen = settle(texts.join(classes, "cls", "left_semi"))
     repeats = not signed.join(chosen, (F.col("id").eqNullSafe(F.col("c_id"))) & (F.col("text_hash") == F.col("c_hash"))).groupBy("c_id", "c_hash").count().where("count > 1").isEmpty()
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
@@ -165,10 +164,10 @@ def similar(p: np.ndarray, q: np.ndarray) -> bool:
     return SIMILARITY[1] * common >= SIMILARITY[0] * (len(p) + len(q) - common)
 
 
-def verified(pairs: DataFrame, df: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, signed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs of classes (a, b) whose full sets are similar enough."""
     classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = _class_sets(df, classes, signed, k)
+    sets = _class_sets(df, classes, signed, texts, k)
     left = sets.select(F.col("cls").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("cls").alias("b"), F.col("set").alias("b_set"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
@@ -240,7 +239,7 @@ def _open_lists(members: DataFrame, labels: DataFrame, signed: DataFrame) -> Dat
     return pairs.mapInArrow(on_batches, _LISTS)
 
 
-def _verified_lists(lists: DataFrame, df: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+def _verified_lists(lists: DataFrame, df: DataFrame, signed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Links (a, b) that connect all components which a similar pair of a list connects."""
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +249,7 @@ def _verified_lists(lists: DataFrame, df: DataFrame, signed: DataFrame, k: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own)], ["list", "cls"])
 
     named = settle(lists.mapInArrow(classes_of, "list long, cls long"))
-    sets = _class_sets(df, named.select("cls").distinct(), signed, k)
+    sets = _class_sets(df, named.select("cls").distinct(), signed, texts, k)
     held = named.join(sets, "cls").select("list", "cls", "set")
 
     def on_tables(listed: pa.Table, own: pa.Table) -> pa.Table:
@@ -287,11 +286,14 @@ def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     leads = members.join(reach, "cls").groupBy("bucket").agg(F.max(F.struct("reach", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("lead"))
     first = members.join(leads, "bucket").where("cls != lead").select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b"))
     first = settle(first.distinct())
-    edges = verified(first, df, signed, k)
+    # The one text that each class is read from; combined before the shuffle, as a class may have very many rows.
+    texts = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("text_hash", "id")).alias("row"))
+    texts = settle(texts.select("cls", F.col("row.id").alias("c_id"), F.col("row.text_hash").alias("c_hash")))
+    edges = verified(first, df, signed, texts, k)
     labels = components(edges)
     lists = settle(_open_lists(members, labels, signed))
     if not lists.isEmpty():
-        labels = components(edges.union(_verified_lists(lists, df, signed, k)))
+        labels = components(edges.union(_verified_lists(lists, df, signed, texts, k)))
     return signed, labels
 
 
@@ -300,7 +302,7 @@ def near_duplicates(df: DataFrame, k: int = 2, doc_id: str = "doc_id", text: str
     keyed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     before = settled()
     signed, labels = linked(keyed, k)
-    rows = signed.select("id", "text_hash", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = spread_join(signed.select("id", "text_hash", "n", "cls"), labels.withColumnRenamed("node", "cls"), ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = settle(rows.select("id", "text_hash", "n", "comp"))
     release(df.sparkSession, [x for x in settled()[:-1] if x not in before])
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("comp", "least")
