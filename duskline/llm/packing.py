@@ -8,7 +8,8 @@ bins that hold its quota of pieces, for each duplicate cluster a bitmap of bins
 residual is a bit left over when the last two are taken out. No document is dropped: if no bin fits, one opens.
 
 A document longer than a bin is cut into pieces: full bins of its own, and a last piece that is packed like
-any other. The cluster is the hash of the text with A-Z folded and white space made even, unless a column
+any other. A tighter bin of another group is not seen: a group of about 4096 documents is packed as well as if it were the corpus, and
+what that costs is one part-filled bin or a few for each group (fill() measures it). The cluster is the hash of the text with A-Z folded and white space made even, unless a column
 names it. Documents without words (null, empty) are returned with a null bin. Null sources share one quota. Repeated rows are
 documents of their own, in one cluster. Ties: longer first, then smaller hash, then smaller id; of equal bins the
 first opened.
@@ -122,12 +123,18 @@ def pack(df: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, doc
         return pa.table([table["id"].take(take), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(np.maximum(size, 0), pa.int64()), table["source"].take(take), table["cluster"].take(take), pa.array(bin_ * groups + group, pa.int64(), mask=none), pa.array(start, pa.int32(), mask=none)], names=["id", "piece", "first_word", "n_words", "source", "cluster", "bin", "bin_start"])
 
     schema = "id long, piece int, first_word long, n_words long, source string, cluster long, bin long, bin_start int"
-    dealt = rows.withColumn("group", F.expr(f"pmod(xxhash64(key, id), {groups})"))
-    if not dealt.groupBy("key", "id").count().where(F.col("count") > group_rows // 4).isEmpty():  # rows repeated past counting: deal them singly
-        dealt = rows.withColumn("group", F.expr(f"pmod(xxhash64(key, id, monotonically_increasing_id()), {groups})"))
+    # Equal rows are counted and dealt by their number, so copies of one row fill no group and groups do not depend on partitions.
+    copies = rows.groupBy("id", "key", "source", "cluster", "n_words").agg(F.count("*").alias("copies"))
+    dealt = copies.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).withColumn("group", F.expr(f"pmod(xxhash64(key, id, copy), {groups})"))
     return dealt.groupBy("group").applyInArrow(on_table, schema)
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """n_words, n_bins and fill (share of all bins' room that words take) of what pack() returned."""
+    made = packed.where("bin is not null").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.count_distinct("bin").alias("n_bins"))
+    return made.withColumn("fill", F.try_divide(F.col("n_words"), F.col("n_bins") * F.lit(capacity)))
+
+
 def near_clusters(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The id, text and source of every row of df with `near_cluster`, the same for near-duplicates, for pack().
 
