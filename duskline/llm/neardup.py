@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column, release, settle, settled, spread_join
 from .graph import components
-from .textbytes import SPACE_SPLIT, Chunk, chunks, mix, spans, windows, word_hashes
+from .textbytes import SPACE_SPLIT, Chunk, Words, chunks, mix, spans, windows, word_hashes
 
 T, ROWS = 250, 5
 BANDS = T // ROWS
@@ -48,9 +48,9 @@ _FULL = np.uint64((1 << 64) - 1)
 _SEEDS = mix(np.arange(1, 2 * T + BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def shingle_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a chunk's documents, ordered by document, and the document of each."""
-    words = spans(chunk, SPACE_SPLIT)
+def shingle_sets(chunk: Chunk, k: int, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a chunk's documents, ordered by document, and the document of each. words: the chunk's, if known."""
+    words = spans(chunk, SPACE_SPLIT) if words is None else words
     hashed = word_hashes(chunk, words, True)
     made, at = windows(hashed, words, k)
     values, docs = [made], [words.doc[at]]
@@ -105,13 +105,16 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, k: int) -> DataFrame:
-    """id, text_hash, n (shingles), cls, and bands and sketch of the first row of each class in a chunk."""
+    """id, text_hash, n (shingles), n_words, cls, bands and sketch of the first row of each class in a chunk, and what else df holds."""
+    others = [f for f in df.schema.fields if f.name not in ("id", "text_hash", "text")]
+    names = ["id", "text_hash", "n", "n_words", "cls", "bands", "sketch", *[f.name for f in others]]
 
     def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = np.zeros(0, np.uint64)
             for chunk in chunks(column(batch, "text")):
-                value, doc = shingle_sets(chunk, k)
+                words = spans(chunk, SPACE_SPLIT)
+                value, doc = shingle_sets(chunk, k, words)
                 first = np.searchsorted(doc, np.arange(len(chunk) + 1))
                 n = np.diff(first)
                 cls = class_ids(value, first)
@@ -129,9 +132,10 @@ def signatures(df: DataFrame, k: int) -> DataFrame:
                 for i, row in zip(own.tolist(), small, strict=True):
                     sketch[i] = row.tobytes()
                 part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "text_hash"), pa.array(n, pa.int64()), pa.array(cls.view(np.int64), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(banded.reshape(-1).view(np.int64))), pa.array(sketch, pa.binary())], ["id", "text_hash", "n", "cls", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "text_hash"), pa.array(n, pa.int64()), pa.array(words.counts, pa.int64()), pa.array(cls.view(np.int64), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(banded.reshape(-1).view(np.int64))), pa.array(sketch, pa.binary()), *[column(part, name) for name in names[7:]]], names)
 
-    return df.mapInArrow(on_batches, "id long, text_hash long, n long, cls long, bands array<long>, sketch binary")
+    schema = "id long, text_hash long, n long, n_words long, cls long, bands array<long>, sketch binary"
+    return df.mapInArrow(on_batches, ", ".join([schema, *[f"{f.name} {f.dataType.simpleString()}" for f in others]]))
 
 
 def _class_sets(df: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -297,18 +301,25 @@ def linked(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return signed, labels
 
 
-def near_duplicates(df: DataFrame, k: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of df: id, text_hash, n_shingles, component_id, kept."""
-    keyed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+def near_rows(df: DataFrame, k: int, doc_id: str, text: str, **carried: Column) -> DataFrame:
+    """For each row of df: id, text_hash, n (shingles), comp (null without words), component_id; with carried columns of df also these and n_words."""
+    keyed = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), *[c.alias(name) for name, c in carried.items()])
+    others = ["n_words", *carried] if carried else []
     before = settled()
     signed, labels = linked(keyed, k)
-    rows = spread_join(signed.select("id", "text_hash", "n", "cls"), labels.withColumnRenamed("node", "cls"), ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = settle(rows.select("id", "text_hash", "n", "comp"))
+    rows = spread_join(signed.select("id", "text_hash", "n", "cls", *others), labels.withColumnRenamed("node", "cls"), ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = settle(rows.select("id", "text_hash", "n", "comp", *others))
     release(df.sparkSession, [x for x in settled()[:-1] if x not in before])
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("comp", "least")
     out = spread_join(rows, settle(least.withColumn("in_group", F.lit(True))), ["comp"], "left")
     component = F.when(F.col("in_group"), F.col("least")).otherwise(F.col("id"))
-    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "text_hash", "n", "comp", component.alias("component_id"), *others)
+
+
+def near_duplicates(df: DataFrame, k: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of df: id, text_hash, n_shingles, component_id, kept."""
+    rows = near_rows(df, k, doc_id, text)
+    return rows.select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, settle
-from .neardup import near_duplicates
+from .neardup import near_rows
 from .textbytes import SPACE_SPLIT, chunks, mix, spans, word_hashes
 
 CAPACITY = 2048
@@ -100,7 +100,17 @@ def pack(df: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, doc
 
     bin is a long, unique over all groups, or null for a document without words.
     """
-    rows = settle(measured(df, doc_id, text, source, cluster))
+    return _dealt(settle(measured(df, doc_id, text, source, cluster)), capacity, quota, group_rows)
+
+
+def pack_near(df: DataFrame, k: int = 5, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, doc_id: str = "doc_id", text: str = "text", source: str = "source", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """pack() of near_clusters(): words are counted where near-duplicates are looked for, so texts are neither joined nor counted again."""
+    rows = near_rows(df, k, doc_id, text, key=F.xxhash64(doc_id, text), source=F.col(source).cast("string"))
+    return _dealt(settle(rows.select("id", "key", "source", F.xxhash64(_near_cluster()).alias("cluster"), "n_words")), capacity, quota, group_rows)
+
+
+def _dealt(rows: DataFrame, capacity: int, quota: int, group_rows: int) -> DataFrame:
+    """The pieces of these rows (id, key, source, cluster, n_words; settled), packed group by group."""
     groups = max(1, rows.count() // group_rows)
 
     def on_table(table: pa.Table) -> pa.Table:
@@ -135,12 +145,17 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return made.withColumn("fill", F.try_divide(F.col("n_words"), F.col("n_bins") * F.lit(capacity)))
 
 
+def _near_cluster() -> Column:
+    """Of a row of near_rows(): the least id of its group, or the group's own hash where no row of it has an id."""
+    return F.coalesce("component_id", "comp", "text_hash")
+
+
 def near_clusters(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The id, text and source of every row of df with `near_cluster`, the same for near-duplicates, for pack().
 
-    It is the least id of the group, or the hash of the text where no row of the group has an id.
+    It is the least id of the group, or a hash of the group where no row of it has an id.
     """
-    found = near_duplicates(df, k, doc_id, text).groupBy("id", "text_hash").agg(F.min(F.coalesce("component_id", "text_hash")).alias("near_cluster"))
+    found = near_rows(df, k, doc_id, text).groupBy("id", "text_hash").agg(F.min(_near_cluster()).alias("near_cluster"))
     found = found.select(F.col("id").alias("n_id"), F.col("text_hash").alias("n_hash"), "near_cluster")
     rows = df.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), F.col(source).alias(source))
     joined = rows.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("n_id")) & (F.xxhash64(text) == F.col("n_hash")), "left")

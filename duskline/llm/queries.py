@@ -18,7 +18,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(packing.near_clusters(_documents(spark, sf_dir)), cluster="near_cluster")
+    packed = packing.pack_near(_documents(spark, sf_dir))
     return packed.select(F.col("id").alias("doc_id"), "piece", "first_word", "n_words", "source", "cluster", "bin", "bin_start")
 
 

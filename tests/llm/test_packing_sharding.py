@@ -124,6 +124,28 @@ def test_near_copies_share_no_bin(spark, tmp_path, odd):
     assert packing.near_clusters(odd).count() == odd.count()
 
 
+def test_near_copies_without_ids_share_no_bin(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*base[:-1], f"end{i}"]), f"s{i}") for i in range(4)] + [(None, "some other text", "s"), (None, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    near = [r for r in got if r.n_words == 60]
+    assert len(got) == len(rows) and len(near) == 4 and len({r.bin for r in near}) == 4 and len({r.cluster for r in near}) == 1
+    assert len({r.cluster for r in got if r.n_words}) == 2
+
+
+def test_words_are_counted_once_and_packed_as_by_clusters_named_in_a_column(spark, small, odd, clashing, documents, monkeypatch):
+    want = [Counter(map(tuple, packing.pack(packing.near_clusters(df), cluster="near_cluster", group_rows=200).collect())) for df in (odd, documents)]
+
+    def again(*_):
+        raise AssertionError("texts are read and split again")
+
+    monkeypatch.setattr(packing, "measured", again)
+    for df, rows in zip((odd, clashing, documents), (want[0], *want), strict=True):
+        assert Counter(map(tuple, packing.pack_near(df, group_rows=200).collect())) == rows
+    assert queries.op2_best_fit_packing(spark, small).count() == documents.count() + sum(n for r, n in want[1].items() if r[1])
+
+
 def shard_rows(df, shards):
     rows = sharding.by_bytes(df, shards).collect()
     by = defaultdict(list)
