@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column, release, settle, settled, spread_join
 from .graph import components
-from .textbytes import SPACE_SPLIT, Chunk, Words, chunks, mix, spans, windows, word_hashes
+from .textbytes import SPACE_SPLIT, Chunk, Words, chunks, mix, powers, spans, windows, word_hashes
 
 T, ROWS = 250, 5
 BANDS = T // ROWS
@@ -56,14 +56,21 @@ def shingle_sets(chunk: Chunk, k: int, words: Words | None = None) -> tuple[np.n
     values, docs = [made], [words.doc[at]]
     for m in range(1, k):
         short = np.flatnonzero(words.counts == m)
-        if len(short):
-            whole, begin = windows(hashed, words, m)
-            own = np.searchsorted(begin, words.first[short])
-            values.append(mix(whole[own] + np.uint64(m)))
+        if len(short):  # the same hash as that of a window, of these documents only
+            whole = mix((hashed[words.first[short][:, None] + np.arange(m)] * powers(m)).sum(axis=1, dtype=np.uint64))
+            values.append(mix(whole + np.uint64(m)))
             docs.append(short)
     value, doc = np.concatenate(values), np.concatenate(docs)
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+    if len(value) < 8 * len(chunk):
+        order = np.lexsort((value, doc))
+        value, doc = value[order], doc[order]
+    else:  # sets of some size are sorted one by one, without an index
+        if len(docs) > 1:
+            order = np.argsort(doc, kind="stable")
+            value, doc = value[order], doc[order]
+        cuts = np.searchsorted(doc, np.arange(len(chunk) + 1)).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            value[x:y].sort()
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     return value[new], doc[new]

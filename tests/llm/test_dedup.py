@@ -57,6 +57,24 @@ def test_pairs_at_the_threshold_are_linked_and_pairs_below_are_not(spark):
     assert got == {2 * i + side: 2 * i + (side if i >= 300 else 0) for i in range(600) for side in (0, 1)}
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_sets_are_sorted_and_the_same_beside_long_and_short_documents(k):
+    rng = random.Random(4)
+    few = [None, "", "a", "A b", "a b c", "a b c d", "a b c d e", "a b c d e f a b c d e f", "a b"]
+    many = [*few, *(sentence(rng, 400) for _ in range(3)), *few]
+
+    def sets(texts):
+        chunk = next(chunks(pa.array(texts, pa.string())))
+        value, doc = neardup.shingle_sets(chunk, k)
+        return [value[doc == i].tolist() for i in range(len(texts))]
+
+    beside, alone = sets(many), [sets([t])[0] for t in many]
+    assert beside == alone and sets(few) == alone[: len(few)]
+    for t, own in zip(many, alone, strict=True):
+        words = brute.words(t)
+        assert own == sorted(set(own)) and len(own) == len({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ())
+
+
 def test_every_coordinate_of_a_sketch_fills():
     for n in (1, 2, 3, 50, 1000):
         value = np.arange(n, dtype=np.uint64)
