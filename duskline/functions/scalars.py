@@ -37,10 +37,10 @@ def format_time(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), TIME_FORMAT)
 
 
-def human_bytes(n: Column) -> Column:
-    """A size with its largest unit of at least 1, in steps of 1024 and two decimals; plain bytes without decimals."""
+def human_bytes(n: Column, largest: str = UNITS[-1]) -> Column:
+    """A size with its largest unit of at least 1, up to `largest`, in steps of 1024 and two decimals; plain bytes without decimals."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for i, unit in enumerate(UNITS[1:], 1):
+    for i, unit in enumerate(UNITS[1 : UNITS.index(largest) + 1], 1):
         out = F.when(n >= F.lit(float(1 << (10 * i))), F.concat(F.format_string("%.2f", n / F.lit(float(1 << (10 * i)))), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n.isNotNull(), out)
 
