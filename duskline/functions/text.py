@@ -30,6 +30,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"{LETTER}+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
+def counted(tokens: Column) -> Column:
+    """Each distinct token of an array with how often it stands there, as structs (token, k): sorted, then cut where a new token begins."""
+
+    def runs(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (own[i] != own[F.greatest(i - 1, F.lit(0))]))
+
+        def cut(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(own)))
+            return F.transform(F.arrays_zip(at.alias("a"), ends.alias("b")), lambda r: F.struct(own[r["a"]].alias("token"), (r["b"] - r["a"]).alias("k")))
+
+        return once(starts, cut)
+
+    return F.when(F.size(tokens) > 0, once(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<token:string,k:int>>"))
+
+
 def presence(text: Column, words: Sequence[str]) -> Column:
     """A struct: whether a text has any token (`any`), and whether it has each of these (`k0`, `k1`, ...), without taking it apart."""
 

@@ -40,13 +40,64 @@ def _ranked(df: DataFrame, order, limit: int | None) -> DataFrame:
 
 
 def postings(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """An inverted index: token, row id, tf (share of the row's tokens that are this one).
+    """An inverted index: token, row id, tf (share of the row's tokens that are this one). Tokens are counted within their row: nothing is shuffled."""
+    rows = df.select(quoted(row_id).alias("row_id"), text.tokens(quoted(column).cast("string")).alias("tokens"))
+    flat = rows.select("row_id", F.size("tokens").alias("n"), F.explode(text.counted(F.col("tokens"))).alias("c"))
+    return flat.select(F.col("c.token").alias("token"), "row_id", (F.col("c.k") / F.col("n")).alias("tf"))
+
+
+#: Stored postings. `row` numbers the rows of a segment; a row's own posting, of the token '', has its id instead of a tf.
+SEGMENT = "token string, row long, tf double, row_id {}, segment string, version long"
+#: Ids of rows whose postings in segments of earlier versions are void.
+GONE = "row_id {}, version long"
+
 
-    The number of a row's tokens rides along with each, so counts need one shuffle, combined before it.
+def write_segment(df: DataFrame, row_id: str, column: str, path: str, version: int = 0) -> int:
+    """Write the postings of a frame as a segment; returns how many rows have a token.
+
+    Each task writes the postings of its own rows, sorted by token, so nothing is shuffled and a search reads a few pages of each file.
+    Postings have a row's number in place of its id, which is written once for each row.
     """
-    rows = df.select(quoted(row_id).alias("row_id"), text.tokens(quoted(column).cast("string")).alias("tokens"))
-    flat = rows.select("row_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    return flat.groupBy("token", "row_id", "n").agg(F.count(F.lit(1)).alias("k")).select("token", "row_id", (F.col("k") / F.col("n")).alias("tf"))
+    seen, n = Observation(), F.size("tokens")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), quoted(row_id).alias("id"), text.tokens(quoted(column).cast("string")).alias("tokens"))
+    rows = rows.observe(seen, F.count_if(n > 0).alias("rows"))
+    own = F.struct(F.lit("").alias("token"), F.lit(None).cast("int").alias("k"))
+    flat = rows.select("row", "id", n.alias("n"), F.explode(F.when(n > 0, F.concat(F.array(own), text.counted(F.col("tokens"))))).alias("c"))
+    made = flat.select(F.col("c.token").alias("token"), "row", (F.col("c.k") / F.col("n")).alias("tf"), F.when(F.col("c.token") == "", F.col("id")).alias("row_id"))
+    made = made.sortWithinPartitions("token", "row").withColumns({"segment": F.lit(uuid.uuid4().hex), "version": F.lit(version).cast("long")})
+    made.write.option("compression", "zstd").parquet(path)
+    return seen.get["rows"]
+
+
+def count_voided(segments: DataFrame, gone: DataFrame | None, more: DataFrame) -> int:
+    """How many rows with a token stand in segments, beside those gone before, and have their id in `more`."""
+    rows = segments.where(F.col("token") == "").select("row_id", "version")
+    return (rows if gone is None else _standing(rows, gone)).join(more.select("row_id"), "row_id", "left_semi").count()
+
+
+def _standing(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    last = gone.groupBy("row_id").agg(F.max("version").alias("gone_at")).withColumnRenamed("row_id", "gone_id")
+    return rows.join(last, (F.col("row_id") == F.col("gone_id")) & (F.col("version") < F.col("gone_at")), "left_anti")
+
+
+def segment_search(segments: DataFrame, query: str, n_rows: int, row_id: str = "row_id", limit: int | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """indexed_search over stored segments: the scan is pruned to the query's tokens and the rows' own postings."""
+    asked = segments.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("t")).first().t
+    wanted = sorted(set(asked))
+    if not wanted:
+        return segments.select(F.col("row_id").alias(row_id), F.lit(0.0).alias(RELEVANCE)).where(F.lit(False))
+    # A row's postings are all in one file, so most are put together before the exchange.
+    tfs = [F.sum(F.when(F.col("token") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    hits = segments.where(F.col("token").isin("", *wanted)).groupBy("segment", "row").agg(F.max("row_id").alias("row_id"), F.max("version").alias("version"), *tfs)
+    hits = hits.where(F.coalesce(*[F.col(f"tf{i}") for i in range(len(wanted))]).isNotNull())
+    if gone is not None:
+        hits = _standing(hits, gone)
+    held = hits.agg(*[F.count(f"tf{i}").alias(f"df{i}") for i in range(len(wanted))])
+    score = F.lit(0.0)
+    for i, w in enumerate(wanted):
+        score = score + F.coalesce(F.col(f"tf{i}") * F.log(F.lit(float(n_rows)) / F.col(f"df{i}")) * F.lit(asked.count(w)), F.lit(0.0))
+    scored = hits.crossJoin(F.broadcast(held)).groupBy("row_id").agg(F.sum(score).alias(RELEVANCE))
+    return _ranked(scored.withColumnRenamed("row_id", row_id), F.col(RELEVANCE).desc(), limit)
 
 
 def tfidf_search(df: DataFrame, row_id: str, column: str, query: str, limit: int | None = None) -> DataFrame:

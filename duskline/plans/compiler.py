@@ -242,7 +242,7 @@ class Compiler:
             return df, F.col(search.DISTANCE).asc()
         index = self.postings(table.db, table.name, found) if len(scope.prefixes) == 1 and self.row_id in scope.df.columns else None
         if index is not None:
-            hits = search.indexed_search(index[0], asked, index[1], "__hit")
+            hits = search.segment_search(index[0], asked, index[1], "__hit", gone=index[2])
             df = scope.df.join(hits, relational.quoted(self.row_id) == F.col("__hit")).drop("__hit")
             return df, F.col(search.RELEVANCE).desc()
         c, words = relational.quoted(found).cast("string"), text.ascii_tokens(asked)

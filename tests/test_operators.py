@@ -101,6 +101,28 @@ def test_tfidf(spark):
     assert len(text.STOP_WORDS) == 33
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a b, The B a c"), (2, "c"), (3, None), (4, "the of"), (5, "a")], "id int, text string")
+    found = search.postings(rows, "id", "text")
+    assert sorted((r.token, r.row_id, round(r.tf, 6)) for r in found.collect()) == [("b", 1, 0.75), ("c", 1, 0.25), ("c", 2, 1.0)]  # "a" is a stop word
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments(spark, tmp_path):
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7)) + " x" * (i % 3)) for i in range(200)], "id int, text string").repartition(5)
+    n = search.write_segment(rows, "id", "text", f"{tmp_path}/s", 1)
+    assert n == rows.where("id % 7 > 0 or id % 3 > 0").count()
+    read = spark.read.schema(search.SEGMENT.format("int")).parquet(f"{tmp_path}/s")
+    score = lambda df: {r.id: round(r["__relevance"], 10) for r in df.collect()}
+    for asked in ("w1 X w5 w5", "w0", "nothing", "the"):
+        assert score(search.segment_search(read, asked, n, "id")) == score(search.tfidf_search(rows, "id", "text", asked))
+    gone = rows.where("id % 2 = 0").selectExpr("id as row_id", "2L as version")
+    rest = rows.where("id % 2 = 1")
+    more = search.count_voided(read, None, gone)
+    assert score(search.segment_search(read, "w1 x", n - more, "id", gone=gone)) == score(search.tfidf_search(rest, "id", "text", "w1 x"))
+    assert score(search.segment_search(read, "w1 x", n, "id", gone=gone.withColumn("version", F.lit(1)))) == score(search.tfidf_search(rows, "id", "text", "w1 x"))
+
+
 def test_joins(spark):
     users = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), (None, "n")], "id string, name string")
     orders = spark.createDataFrame([("o1", "1", "u"), ("o2", "2", "u"), ("o3", None, "u")], "oid string, id string, __uuid string")
